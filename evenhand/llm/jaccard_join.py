@@ -36,6 +36,8 @@ UP, DOWN = 75, 100
 OFTEN, MOST_OFTEN = 32, 1 << 20
 #: Least hashes kept of a set to find pivots, and how many of them look for one.
 SKETCH, PROBES = 24, 6
+#: Hashes that a task holds before it sends them.
+FLUSH = 1_000_000
 #: Hashes in one bucket of a shuffle of packed arrays.
 BUCKET = 1_000_000
 
@@ -119,7 +121,7 @@ def _often(docs: DataFrame, entries: int) -> np.ndarray:
                 for s in shingle_sets(block):
                     held.append(s[: 2 * prefix_length(len(s))] if len(s) else s)
                     size += len(held[-1])
-                if size > 2_000_000:
+                if size > FLUSH:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -191,7 +193,7 @@ def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
                         tokens.append(a)
                         groups.append(np.repeat(_group_of(len(s), a, b), len(a)))
                         size += len(a)
-                if size > 2_000_000:
+                if size > FLUSH:
                     yield _packed(tokens, buckets, np.concatenate(groups))
                     tokens, groups, size = [], [], 0
         if size:
@@ -318,10 +320,10 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = components(links)
     often = docs.sparkSession.sparkContext.broadcast(_often(docs, total // 2))
     members = written(_members(docs, often).groupBy("c", "g", "n").agg(F.first("hot").alias("hot")))
-    members = written(_labelled(members, found))
+    members = written(_labelled(members, written(found)))
     posts = _shared_rare(docs, often, total // 4).union(members.select(F.explode("hot").alias("token"), "g").distinct())
     # A group's own members meet under a token of its own.
-    posts = posts.union(members.select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct())
+    posts = written(posts.union(members.select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct()))
     more = _verified(docs, classes, _cross_pairs(posts, members))
     links = written(links.union(more))
     final = components(links).select(F.col("id").alias("c"), "component")

@@ -146,7 +146,7 @@ def _first_round(docs: DataFrame, known) -> DataFrame:
 
 def _next_round(docs: DataFrame, live: DataFrame, wide: int, narrow: int) -> DataFrame:
     """Blocks of ``narrow`` starts within the live ones of ``wide``."""
-    per_doc = written(live.groupBy("id").agg(F.collect_list(F.struct("pos", "lo", "hi", "seed", "number")).alias("live")))
+    per_doc = written(live.groupBy("id").agg(F.collect_list(F.struct("pos", "lo", "hi", "number")).alias("live")))
     rows = docs.join(if_small(per_doc), docs["row"] == per_doc["id"]).select("row", "t", "live")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +157,10 @@ def _next_round(docs: DataFrame, live: DataFrame, wide: int, narrow: int) -> Dat
                 part = held.slice(block.first, block.docs)
                 flat = part.flatten()
                 doc = np.repeat(np.arange(block.docs), [len(x) for x in part])
-                pos, lo, hi, seed, number = (np.array(flat.field(i)).astype(np.int64) for i in range(5))
+                pos, lo, hi, number = (np.array(flat.field(i)).astype(np.int64) for i in range(4))
                 k = wide // narrow
                 number = _split(number, wide, narrow)
+                seed = span(sums, block.at[doc] + pos, block.at[doc] + pos + SEED).view(np.int64)
                 doc, pos, lo, hi, seed = (np.repeat(x, k) for x in (doc, pos, lo, hi, seed))
                 yield _emit([[x] for x in _ranked(sums, block, doc, pos, lo, hi, seed, number, narrow, ids[block.first : block.first + block.docs])])
 
@@ -188,15 +189,16 @@ def repeated_windows(docs: DataFrame, most_seeds: int = 4_000_000) -> DataFrame:
     found = []
     for i, width in enumerate(BLOCKS):
         ranked = written(blocks_of)
-        wholes = ranked.groupBy("key", "core", "whole").agg(F.count("*").alias("same"))
-        # What the next round needs: a shared core that has more than one whole.
-        cores = wholes.groupBy("key", "core").agg(F.sum("same").alias("sharing"), F.count("*").alias("kinds"))
+        own = F.min(F.struct("id", "pos", "lo", "hi", "number")).alias("own")
+        wholes = written(ranked.groupBy("key", "core", "whole").agg(F.count("*").alias("same"), own))
         repeated = wholes.where("same > 1").select("key", "core", "whole")
-        found.append(ranked.join(if_small(written(repeated)), ["key", "core", "whole"], "left_semi").select("id", "pos", "lo", "hi", "number", F.lit(width).alias("width")))
+        found.append(ranked.join(repeated, ["key", "core", "whole"], "left_semi").select("id", "pos", "number", F.lit(width).alias("width")))
         if i + 1 == len(BLOCKS):
             break
-        mixed = written(cores.where("sharing > 1 and kinds > 1").select("key", "core"))
-        live = ranked.join(if_small(mixed), ["key", "core"], "left_semi")
+        # The next round needs a shared core that has more than one whole: one block of each whole
+        # stands for all its copies, which are past already.
+        cores = wholes.groupBy("key", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", "core")
+        live = wholes.join(cores, ["key", "core"], "left_semi").select("own.*")
         blocks_of = _next_round(docs, live, width, BLOCKS[i + 1])
     out = found[0]
     for f in found[1:]:

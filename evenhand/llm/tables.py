@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a key table counts as small enough to broadcast.
-SMALL_ROWS = 1_000_000
+#: Rows and stored bytes up to which a table counts as small enough to broadcast.
+SMALL_ROWS, SMALL_BYTES = 400_000, 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -38,12 +38,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffle join).
+def if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small by rows and by bytes, else as it is (a shuffle join).
 
-    ``df`` should be a written table, as it is counted.
+    ``df`` must be a written table: its rows are counted, its files' sizes known.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if stored <= size and df.count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ SCREEN = f"""rates as (select lei, group_column, group_value, {RATE} from {LONG}
   case when anyc then bg else 'NONE_ELIGIBLE' end as reference_group, case when applications >= 100 and anyc and br <> 0 then approval_rate/br end as ratio from b)"""
 NUM = lambda c: f"case when trim({c}) not in ('NA','Exempt','','NA ','Not applicable') then try_cast(trim({c}) as double) end"
 INC = f"({NUM('income')})*1000.0"
-RANK = "case debt_to_income_ratio when '<20%' then 0.0 when '20%-<30%' then 1.0 when '30%-<36%' then 2.0 when '50%-60%' then 17.0 when '>60%' then 18.0 else least(greatest(try_cast(debt_to_income_ratio as double), 36.0), 49.0) - 33.0 end"
+RANK = "case debt_to_income_ratio when '<20%' then 0.0 when '20%-<30%' then 1.0 when '30%-<36%' then 2.0 when '50%-60%' then 17.0 when '>60%' then 18.0 else case when try_cast(debt_to_income_ratio as double) is not null then least(greatest(try_cast(debt_to_income_ratio as double), 36.0), 49.0) - 33.0 end end"
 
 # A closed-form score of a row and an added income, so that SQL can follow it.
 Z = "2.0 - {income}/100000.0 + {loan}/{income}/2.0 + {rank}/20.0"
@@ -201,9 +201,9 @@ def _(df):
     return df.select("app_id", C.denied().alias("y"))
 
 
-@query("e12_loan_to_income", f" select app_id, round(({NUM('loan_amount')}) / nullif({INC}, 0), 6) as ratio from app")
+@query("e12_loan_to_income", f" select app_id, ({NUM('loan_amount')}) / nullif({INC}, 0) as ratio from app")
 def _(df):
-    return df.select("app_id", F.round(C.loan_to_income(), 6).alias("ratio"))
+    return df.select("app_id", C.loan_to_income().alias("ratio"))
 
 
 @query("e13_missing_flags", f" select app_id, cast({NUM('income')} is null as int) as income_missing, cast({NUM('property_value')} is null as int) as property_value_missing from app")
@@ -547,7 +547,7 @@ def _(df):
     return A.flagged_lenders(A.lender_screen(df)).select("lei")
 
 
-SETS = f"+ {SCREEN}, a as (select distinct lei from scr where ratio < 0.8 and group_column='derived_race'), b as (select distinct lei from scr where ratio < 0.8 and group_column='derived_sex'), m as (select a.lei as x, b.lei as y from a full join b on a.lei=b.lei) select count(x) as left_size, count(y) as right_size, count(*) filter (where x is not null and y is not null) as both, count(*) filter (where x is null or y is null) as differ from m"
+SETS = f"+ {SCREEN}, fa as (select distinct lei from scr where ratio < 0.8 and group_column='derived_race'), fb as (select distinct lei from scr where ratio < 0.8 and group_column='derived_sex'), m as (select fa.lei as x, fb.lei as y from fa full join fb on fa.lei=fb.lei) select count(x) as left_size, count(y) as right_size, count(*) filter (where x is not null and y is not null) as both, count(*) filter (where x is null or y is null) as differ from m"
 
 
 @query("u2_set_comparison", SETS)
@@ -651,7 +651,7 @@ def _drift_sql() -> str:
     return f"""+ yy as (select distinct cast(activity_year as int) as year_a from app), pp as (select * from (select year_a, lead(year_a) over (order by year_a) as year_b from yy) where year_b is not null),
  l as ({rows}), sd as (select year_a, year_b, col, x, code, yr=year_a as is_a from l join pp on yr=year_a or yr=year_b where x is not null or code is not null),
  ed as (select year_a, year_b, col, list_distinct(quantile_cont(x, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) as e from sd where x is not null group by all),
- es as (select year_a, year_b, col, list_sort(e) as e from ed), bn as (select s.year_a, s.year_b, s.col, is_a, case when x is null then code else cast(len(list_filter(e[2:len(e)-1], z -> z < x)) as varchar) end as bin, coalesce(len(e) >= 3, true) as ok from sd s left join es on s.year_a=es.year_a and s.col=es.col and s.x is not null),
+ es as (select year_a, year_b, col, list_sort(e) as e from ed), bn as (select s.year_a, s.year_b, s.col, is_a, case when x is null then code else cast(len(list_filter(e[2:len(e)-1], lambda z: z < x)) as varchar) end as bin, coalesce(len(e) >= 3, true) as ok from sd s left join es on s.year_a=es.year_a and s.col=es.col and s.x is not null),
  ct as (select year_a, year_b, col, bin, ok, cast(count(*) filter (where is_a) as double) as a, cast(count(*) filter (where not is_a) as double) as b from bn group by all), sh as (select *, sum(a) over w as ta, sum(b) over w as tb from ct window w as (partition by year_a, col)),
  ps as (select year_a, year_b, col, sum(case when ok and ta>0 and tb>0 then (greatest(a/ta,1e-4)-greatest(b/tb,1e-4))*ln(greatest(a/ta,1e-4)/greatest(b/tb,1e-4)) else 0 end) as psi from sh group by all)"""
 

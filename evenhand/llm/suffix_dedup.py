@@ -222,7 +222,7 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
     # A document's ranges are bounded by its own length.
     per_doc = found.distinct().groupBy(F.col("id").alias("_r")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     per_doc = written(per_doc)
-    return docs.join(if_small(per_doc), docs["row"] == per_doc["_r"], "left").drop("_r")
+    return docs.join(per_doc, docs["row"] == per_doc["_r"], "left").drop("_r")
 
 
 def _cut_points(ranges: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -70,7 +70,7 @@ def test_shrinkage_pulls_small_lenders_in(spark):
     each += [("SMALL", "G", 10, 6), ("SMALL", "R", 10, 1), ("LARGE", "G", 5000, 3000), ("LARGE", "R", 5000, 500)]
     got = {r["lei"]: r for r in shrink.shrunken_gaps(lenders(spark, each), "G", "R").collect()}
     assert got["SMALL"]["weight"] < got["L0"]["weight"] < got["LARGE"]["weight"]
-    assert got["LARGE"]["on_watch_list"] and not got["SMALL"]["on_watch_list"]
+    assert got["LARGE"]["on_watch_list"] and got["SMALL"]["raw_gap_pp"] == pytest.approx(50) and got["SMALL"]["shrunk_gap_pp"] < got["LARGE"]["shrunk_gap_pp"]
 
 
 def test_normal_tail(spark):

@@ -315,7 +315,7 @@ def _(df):
     return rows.join(F.broadcast(T.reweighing(rows)), ["g", "y"]).select("app_id", F.round("weight", 6).alias("weight"))
 
 
-GRID = ", ".join(f"({x!r})" for x in [0.0, *map(float, R.FINE), *R.coarse_grid()])
+GRID = ", ".join(f"({x!r}::double)" for x in [0.0, *map(float, R.FINE), *R.coarse_grid()])
 
 
 @query("j10_recourse_grid", DEMO + f", grid(x) as (values {GRID}) select app_id, count(*) as steps, count(*) filter (where round(1.0/(1.0+exp(-(2.0 - (inc+x)/100000.0 + principal/(inc+x)/2.0 + rank/20.0))), 9) < 0.5) as below from demo, grid group by app_id")
@@ -710,7 +710,7 @@ def _(df):
     return P.summary_over_seeds(out, "challenger", "auc")
 
 
-@query("r7_cutoff", DEMO + " select round(quantile_cont(score, 1 - (select avg(y) from demo)), 6) as cutoff from demo")
+@query("r7_cutoff", DEMO + ", l as (select list_sort(list(score)) as s, (1.0-avg(y))*(count(*)-1) as p, count(*) as n from demo) select round(s[cast(floor(p) as int)+1] + (p-floor(p))*(s[least(cast(floor(p) as int)+2, n)] - s[cast(floor(p) as int)+1]), 6) as cutoff from l")
 def _(df):
     rows = demo_scores(df)
     rate = rows.agg(F.avg("y")).first()[0]

@@ -32,7 +32,7 @@ from .textarrays import NOT_SPACE, P, U, Block, blocks, column, doc_bounds, gram
 SHINGLE = 5
 #: Similarity as a fraction.
 UP, DOWN = 75, 100
-#: Documents from which on a token goes to the end of the order, and most such tokens (8 MB).
+#: Documents from which on a token goes to the end of the order, and most such tokens (16 MB with their counts).
 OFTEN, MOST_OFTEN = 32, 1 << 20
 #: Least hashes kept of a set to find pivots, and how many of them look for one.
 SKETCH, PROBES = 24, 6
@@ -101,10 +101,13 @@ def _packed(out: list[np.ndarray], buckets: int, *more: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *(f"d{i}" for i in range(len(arrays) - 1))])
 
 
-def _often(docs: DataFrame, entries: int) -> np.ndarray:
-    """Sorted hashes of the tokens that OFTEN or more documents have among twice their prefix, at most MOST_OFTEN.
+def _often(docs: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the tokens seen OFTEN or more times, at most MOST_OFTEN, of whole sets.
 
-    The order is a matter of cost alone: any set of tokens here gives the same links.
+    Counting is lossy: a token met once only in FLUSH hashes isn't sent, so
+    singletons stay in their task, and with b such parts of the corpus a token
+    of about sqrt(OFTEN * b) documents or more is found.  The order is a matter
+    of cost alone: any set of tokens and any counts here give the same links.
     """
     buckets = max(4, -(-entries // BUCKET))
 
@@ -114,13 +117,13 @@ def _often(docs: DataFrame, entries: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return _packed([h], buckets, n.astype(np.uint32))
+            return _packed([h[n > 1]], buckets, n[n > 1].astype(np.uint32))
 
         for batch in batches:
             for block in blocks(column(batch, "t"), lower=True):
                 for s in shingle_sets(block):
-                    held.append(s[: 2 * prefix_length(len(s))] if len(s) else s)
-                    size += len(held[-1])
+                    held.append(s)
+                    size += len(s)
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -137,20 +140,24 @@ def _often(docs: DataFrame, entries: int) -> np.ndarray:
 
     packed = docs.select("t").mapInArrow(count, "bucket int, d0 binary, d1 binary")
     often = written(packed.groupBy("bucket").applyInArrow(add, "token long, n long"))
-    top = often.orderBy(F.col("n").desc(), "token").limit(MOST_OFTEN).select("token").toPandas()  # bounded
-    return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
-
-
-def _ordered(s: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a set: its rare tokens and its frequent ones."""
-    if len(often):
-        near = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        hot = often[near] == s
+    top = often.orderBy(F.col("n").desc(), "token").limit(MOST_OFTEN).toPandas()  # bounded
+    token = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], top["n"].to_numpy(dtype=np.int64)[order]
+
+
+def _ordered(s: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set: its rare tokens by hash, then its frequent ones by count and hash."""
+    token, count = often
+    if len(token):
+        near = np.minimum(np.searchsorted(token, s), len(token) - 1)
+        hot = token[near] == s
     else:
-        hot = np.zeros(len(s), bool)
+        near, hot = np.zeros(len(s), np.int64), np.zeros(len(s), bool)
     p = prefix_length(len(s))
     rare = s[~hot][:p]
-    return rare, s[hot][: p - len(rare)]
+    last = s[hot][np.argsort(count[near[hot]], kind="stable")]
+    return rare, last[: p - len(rare)]
 
 
 def _group_of(n: int, rare: np.ndarray, hot: np.ndarray) -> np.ndarray:

@@ -166,11 +166,11 @@ def _group_of(n: int, rare: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame, often: Broadcast) -> DataFrame:
-    """(c, g, n, hot) of each row with a set: class, group, size and the prefix's frequent tokens."""
+    """(c, g, n, rare, hot) of each row with a set: class, group, size, the prefix's number of rare tokens and its frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, g, n, hot = [], [], [], []
+            c, g, n, rare, hot = [], [], [], [], []
             for block in blocks(column(batch, "t"), lower=True):
                 for s in shingle_sets(block):
                     if len(s):
@@ -178,10 +178,11 @@ def _members(docs: DataFrame, often: Broadcast) -> DataFrame:
                         c.append(class_of(s))
                         g.append(int(_group_of(len(s), a, b).view(np.int64)[0]))
                         n.append(len(s))
+                        rare.append(len(a))
                         hot.append(b.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(hot, pa.list_(pa.int64()))], ["c", "g", "n", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(hot, pa.list_(pa.int64()))], ["c", "g", "n", "rare", "hot"])
 
-    return docs.select("t").mapInArrow(run, "c long, g long, n long, hot array<long>")
+    return docs.select("t").mapInArrow(run, "c long, g long, n long, rare long, hot array<long>")
 
 
 def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
@@ -222,6 +223,21 @@ def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(shared, "token long, g long").distinct()
 
 
+def _capped(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """(token, g, cap) of the prefixes' frequent tokens; cap: the largest set that can be similar to the group's.
+
+    A prefix that reaches frequent tokens has all the rare ones of its set.
+    Where two such meet, a rare token that no other group has posted lies in
+    one of them only; of n tokens with u such, n - u can be shared, and the
+    sizes of two similar sets sum to at most 175 / 75 of what they share.
+    """
+    spilt = members.where(F.size("hot") > 0).groupBy("g").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("hot").alias("hot"))
+    seen = rare.groupBy("g").agg(F.count("*").alias("seen"))
+    common = F.col("n") - F.col("rare") + F.coalesce("seen", F.lit(0))
+    cap = F.floor((UP + DOWN) * common / UP).cast("long") - F.col("n")
+    return spilt.join(seen, "g", "left").select(F.explode("hot").alias("token"), "g", cap.alias("cap"))
+
+
 def _alike(a: str, b: str):
     """Size filter: sets of these sizes can be similar enough."""
     return F.expr(f"{DOWN} * least({a}, {b}) >= {UP} * greatest({a}, {b})")
@@ -291,16 +307,20 @@ def _cross_pairs(posts: DataFrame, members: DataFrame) -> DataFrame:
 
     Components meet first; only those that share a token are opened to groups,
     and only group pairs to members, so pairs within a component never arise.
+    A posting's cap bounds its partner's size; null is no bound.
     """
     groups = members.groupBy("g", "comp").agg(F.min("n").alias("n"))
     entries = posts.join(groups, "g")
     mixed = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     entries = written(entries.join(mixed, "token"))
-    comps = entries.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left, right = (comps.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("comp", "lo", "hi"))) for i in (1, 2))
-    meet = left.join(right, "token").where(f"comp1 < comp2 and {DOWN} * hi1 >= {UP} * lo2 and {DOWN} * hi2 >= {UP} * lo1").select("token", "comp1", "comp2")
-    one, two = (entries.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("comp", "g", "n"))) for i in (1, 2))
-    pairs = meet.join(one, ["token", "comp1"]).join(two, ["token", "comp2"]).where(_alike("n1", "n2"))
+    cap = F.coalesce("cap", F.lit((1 << 63) - 1))
+    comps = entries.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(cap).alias("cap"))
+    left, right = (comps.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("comp", "lo", "hi", "cap"))) for i in (1, 2))
+    meet = left.join(right, "token").where(f"comp1 < comp2 and {DOWN} * hi1 >= {UP} * lo2 and {DOWN} * hi2 >= {UP} * lo1 and lo1 <= cap2 and lo2 <= cap1")
+    meet = meet.select("token", "comp1", "comp2")
+    entries = entries.withColumn("cap", cap)
+    one, two = (entries.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("comp", "g", "n", "cap"))) for i in (1, 2))
+    pairs = meet.join(one, ["token", "comp1"]).join(two, ["token", "comp2"]).where(_alike("n1", "n2") & F.expr("n1 <= cap2 and n2 <= cap1"))
     pairs = pairs.select("g1", "g2", "comp1", "comp2").distinct()
     inside = members.select("g", "comp", "c").distinct()
     pairs = pairs.join(inside.select(F.col("g").alias("g1"), F.col("comp").alias("comp1"), F.col("c").alias("a")), ["g1", "comp1"])
@@ -326,11 +346,12 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     links = written(_verified(docs, classes, _pivot_pairs(classes)))
     found = components(links)
     often = docs.sparkSession.sparkContext.broadcast(_often(docs, total // 2))
-    members = written(_members(docs, often).groupBy("c", "g", "n").agg(F.first("hot").alias("hot")))
+    members = written(_members(docs, often).groupBy("c", "g", "n", "rare").agg(F.first("hot").alias("hot")))
     members = written(_labelled(members, written(found)))
-    posts = _shared_rare(docs, often, total // 4).union(members.select(F.explode("hot").alias("token"), "g").distinct())
+    rare = written(_shared_rare(docs, often, total // 4))
     # A group's own members meet under a token of its own.
-    posts = written(posts.union(members.select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct()))
+    own = members.select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct()
+    posts = written(rare.union(own).withColumn("cap", F.lit(None).cast("long")).union(_capped(members, rare)))
     more = _verified(docs, classes, _cross_pairs(posts, members))
     links = written(links.union(more))
     final = components(links).select(F.col("id").alias("c"), "component")

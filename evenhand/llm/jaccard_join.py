@@ -8,7 +8,7 @@ members of what is left are verified on their whole sets.
 
 The order puts tokens of many documents last, so that a passage that
 thousands share does not pair them.  Large families of near copies are linked
-first, each to one pivot and verified; then only groups of different
+first, to pivots and then to hubs, and verified; then only groups of different
 components need pairing, so that a family never expands to all its pairs and
 yet no link between two components is missed.
 
@@ -36,6 +36,8 @@ UP, DOWN = 75, 100
 OFTEN, MOST_OFTEN = 32, 1 << 20
 #: Least hashes kept of a set to find pivots, and how many of them look for one.
 SKETCH, PROBES = 24, 6
+#: Times that the classes of frequent tokens are linked to a hub.
+HUBS = 3
 #: Hashes that a task holds before it sends them.
 FLUSH = 1_000_000
 #: Hashes in one bucket of a shuffle of packed arrays.
@@ -223,19 +225,17 @@ def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(shared, "token long, g long").distinct()
 
 
-def _capped(members: DataFrame, rare: DataFrame) -> DataFrame:
-    """(token, g, cap) of the prefixes' frequent tokens; cap: the largest set that can be similar to the group's.
+def _posted(spilt: DataFrame, *keep: str) -> DataFrame:
+    """(token, cap) of the prefixes' frequent tokens, with ``keep``; cap: the largest set that can be similar.
 
     A prefix that reaches frequent tokens has all the rare ones of its set.
-    Where two such meet, a rare token that no other group has posted lies in
-    one of them only; of n tokens with u such, n - u can be shared, and the
-    sizes of two similar sets sum to at most 175 / 75 of what they share.
+    Two such sets that share a rare one meet there; else the first token they
+    share, at place k of the frequent ones, leaves n - rare - k to share, and
+    the sizes of two similar sets sum to at most 175 / 75 of what they share.
     """
-    spilt = members.where(F.size("hot") > 0).groupBy("g").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("hot").alias("hot"))
-    seen = rare.groupBy("g").agg(F.count("*").alias("seen"))
-    common = F.col("n") - F.col("rare") + F.coalesce("seen", F.lit(0))
-    cap = F.floor((UP + DOWN) * common / UP).cast("long") - F.col("n")
-    return spilt.join(seen, "g", "left").select(F.explode("hot").alias("token"), "g", cap.alias("cap"))
+    posts = spilt.select("*", F.posexplode("hot").alias("k", "token"))
+    cap = F.floor((UP + DOWN) * (F.col("n") - F.col("rare") - F.col("k")) / UP).cast("long") - F.col("n")
+    return posts.select("token", *keep, cap.alias("cap"))
 
 
 def _alike(a: str, b: str):
@@ -266,6 +266,21 @@ def _pivot_pairs(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
 
 
+def _hub_pairs(spilt: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a class and the hub of those that share a frequent token and a size band, if of different components.
+
+    The hub has the smallest share of rare tokens, so it is near the middle of
+    a large family; each turn draws another of those and moves the bands.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) * 6 + turn / 2)
+    share = F.floor(DOWN * F.col("rare") / F.col("n"))
+    posts = _posted(spilt.withColumn("band", band).withColumn("share", share), "c", "comp", "n", "band", "share")
+    hub = F.min(F.struct("share", F.xxhash64("c", F.lit(turn)).alias("draw"), "c", "comp", "n", "cap")).alias("p")
+    hubs = posts.groupBy("token", "band").agg(hub, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
+    pairs = posts.join(hubs, ["token", "band"]).where("comp <> p.comp and n <= p.cap and p.n <= cap")
+    return pairs.where(_alike("n", "p.n")).select(F.col("c").alias("a"), F.col("p.c").alias("b")).distinct()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of classes whose whole sets are similar enough."""
     pairs = written(pairs)
@@ -344,14 +359,22 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = written(classes)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = written(_verified(docs, classes, _pivot_pairs(classes)))
-    found = components(links)
+    found = written(components(links))
     often = docs.sparkSession.sparkContext.broadcast(_often(docs, total // 2))
     members = written(_members(docs, often).groupBy("c", "g", "n", "rare").agg(F.first("hot").alias("hot")))
-    members = written(_labelled(members, written(found)))
-    rare = written(_shared_rare(docs, often, total // 4))
+    spilt = written(members.where(F.size("hot") > 0))
+    for turn in range(HUBS):
+        pairs = written(_hub_pairs(_labelled(spilt, found), turn))
+        if pairs.isEmpty():
+            break
+        links = written(links.union(_verified(docs, classes, pairs)))
+        found = written(components(links))
+    members = written(_labelled(members.drop("hot"), found))
+    rare = _shared_rare(docs, often, total // 4)
     # A group's own members meet under a token of its own.
     own = members.select(F.xxhash64(F.lit("group"), "g").alias("token"), "g").distinct()
-    posts = written(rare.union(own).withColumn("cap", F.lit(None).cast("long")).union(_capped(members, rare)))
+    groups = spilt.groupBy("g").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("hot").alias("hot"))
+    posts = written(rare.union(own).withColumn("cap", F.lit(None).cast("long")).union(_posted(groups, "g")))
     more = _verified(docs, classes, _cross_pairs(posts, members))
     links = written(links.union(more))
     final = components(links).select(F.col("id").alias("c"), "component")

@@ -73,21 +73,38 @@ def class_of(tokens: np.ndarray) -> int:
     return int((mix(mix(mix(x[:1]) + x[1:2]) + x[2:])).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each token's hash modulo the least power of two from len(s) on, 64 at least."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """What sets of these bitmaps and sizes share at most: a bit in one only stands for a token in one only."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """(id, c, n, sketch) of each row; c is null for an empty set."""
+    """(id, c, n, sketch, bits) of each row; c is null for an empty set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, n, sketch = [], [], []
+            c, n, sketch, bits = [], [], [], []
             for block in blocks(column(batch, "t"), lower=True):
                 for s in shingle_sets(block):
                     c.append(class_of(s) if len(s) else None)
                     n.append(len(s))
                     sketch.append(s[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["id", "c", "n", "sketch"])
+                    bits.append(bitmap(s))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bits, pa.binary())], ["id", "c", "n", "sketch", "bits"])
 
-    return docs.mapInArrow(run, f"id {kind}, c long, n long, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, c long, n long, sketch binary, bits binary")
 
 
 def _packed(out: list[np.ndarray], buckets: int, *more: np.ndarray) -> pa.RecordBatch:
@@ -281,9 +298,23 @@ def _hub_pairs(spilt: DataFrame, turn: int) -> DataFrame:
     return pairs.where(_alike("n", "p.n")).select(F.col("c").alias("a"), F.col("p.c").alias("b")).distinct()
 
 
+def _possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of classes whose bitmaps allow that they are similar enough."""
+    of = classes.select("c", "n", "bits")
+    both = pairs.join(of.withColumnsRenamed({"c": "a", "n": "na", "bits": "xa"}), "a").join(of.withColumnsRenamed({"c": "b", "n": "nb", "bits": "xb"}), "b")
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(column(batch, k).to_pylist() for k in ("xa", "xb", "na", "nb")), strict=True)
+            keep = [(UP + DOWN) * most_shared(x, y, nx, ny) >= UP * (nx + ny) for x, y, nx, ny in each]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(similar, "a long, b long")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of classes whose whole sets are similar enough."""
-    pairs = written(pairs)
+    """The pairs of classes whose whole sets are similar enough; bitmaps first, so that few texts move."""
+    pairs = written(_possible(classes, pairs))
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = written(wanted.join(classes, "c").select("c", F.col("rep").alias("r")))
     texts = docs.join(if_small(wanted), F.col("id").eqNullSafe(F.col("r"))).select("c", "t")
@@ -355,7 +386,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     rows = written(_classes(docs))
-    classes = rows.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep"))
+    classes = rows.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.min("id").alias("rep"))
     classes = written(classes)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = written(_verified(docs, classes, _pivot_pairs(classes)))

@@ -171,3 +171,14 @@ def test_quality_rules(docs, rows):
         again = {x for v in at.values() if len(v) > 1 for k in v for x in range(k, k + 8)}
         assert (got[i]["n_words"], got[i]["n_repeat_words"], got[i]["word_chars"]) == (len(w), len(again), sum(map(len, w)))
     assert got[40]["base_failed"] and got[45]["base_failed"] and not got[3]["base_failed"]
+
+
+def test_bitmaps_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    for n, shared in ((1, 0), (5, 5), (70, 60), (300, 290), (4000, 3100)):
+        a, b = np.unique(tokens[:n]), np.unique(tokens[n - shared : n - shared + max(1, 3 * n // 4)])
+        both = len(np.intersect1d(a, b))
+        most = jaccard_join.most_shared(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b))
+        assert both <= most <= min(len(a), len(b))
+    assert jaccard_join.most_shared(jaccard_join.bitmap(tokens[:500]), jaccard_join.bitmap(tokens[500:1000]), 500, 500) < 400

@@ -13,15 +13,31 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-#: Patterns by kind, tried in this order (fixed values).
+#: Lengths of account numbers by country.  In groups of four only these tell where one ends and a word begins.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped_iban(n: int, countries: str) -> str:
+    rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
+GROUPED_IBAN = "|".join(_grouped_iban(n, c) for n, c in IBAN_LENGTHS.items())
+
+#: Patterns by kind, tried in this order (fixed values).  A host has at most 127 labels; the last dot may
+#: end a sentence, so labels are given back.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]++\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED_IBAN})(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
-    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9\-])",
-    "date": r"(?<![A-Za-z0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9\-/]|\.[0-9])",
+    "date": r"(?<![A-Za-z0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:?[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9\-/]|\.[0-9]))",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])",
 }
@@ -173,13 +189,14 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    valid = iban_rest(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = iban_rest(bare(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4)))) == 1
     body = F.substring(m, F.lit(5), F.length(m))
     digits = F.regexp_replace(body, "[^0-9]", "")
 
     def checked(b: Column) -> Column:
         country = F.substring(m, 1, 2)
-        return F.concat(country, F.lpad((98 - iban_rest(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+        return F.concat(country, F.lpad((98 - iban_rest(bare(F.concat(b, country, F.lit("00"))))).cast("string"), 2, "0"), b)
 
     return F.when(valid & (F.length(digits) >= 2), _let(refill(body, permute_digits(digits, key, "iban")), checked))
 

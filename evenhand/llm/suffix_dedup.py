@@ -47,7 +47,7 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def anchors(block: Block, sums: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+def anchors(block: Block, sums: np.ndarray, length: int = LENGTH, seed: int = SEED, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
     """(doc, position, first start, last start, seed hash) of the block's anchors; places count from the document's start.
 
     An anchor is the least seed of a window, the leftmost of equal ones; the
@@ -59,8 +59,8 @@ def anchors(block: Block, sums: np.ndarray, length: int = LENGTH, seed: int = SE
     at = np.arange(max(0, n - seed + 1))
     h = span(sums, at, at + seed)
     owner = np.repeat(np.arange(block.docs), np.diff(block.at))
-    for s in range(0, n - length + 1, SEGMENT):
-        e = min(s + SEGMENT, n - length + 1)
+    for s in range(0, n - length + 1, segment):
+        e = min(s + segment, n - length + 1)
         part = h[s : e - 1 + w]
         least = sliding_least((part & ~PLACE) | np.arange(len(part), dtype=np.uint64), w)
         start = np.arange(s, e)
@@ -76,7 +76,11 @@ def anchors(block: Block, sums: np.ndarray, length: int = LENGTH, seed: int = SE
         out.append((doc, pos - base, start[first] - base, start[last] - base, h[pos].view(np.int64)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    doc, pos, lo, hi, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+    # An anchor whose starts cross a border of segments came in parts.
+    new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return doc[new], pos[new], lo[new], hi[last], hashes[new]
 
 
 def block_ranks(sums: np.ndarray, base: np.ndarray, size: np.ndarray, seed: np.ndarray, pos: np.ndarray, number: np.ndarray, width: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from evenhand.llm import decontamination, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from evenhand.llm import decontamination, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, textarrays, token_counts
 from evenhand.llm.encoders import WordPieces
 
 WORDS = "the of and to in is ore sand tide lamp glass river stone cloud ember frost grain haven".split()
@@ -163,6 +163,25 @@ def test_repeated_bytes(docs, rows):
     assert Counter(map(tuple, suffix_dedup.repeated_bytes(docs).collect())) == want
 
 
+def test_anchors_do_not_depend_on_segments():
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(97, 123, 5000), np.full(3000, 97), rng.integers(97, 123, 900)]).astype(np.uint8)
+    block = textarrays.Block(0, data, np.array([0, 2500, 2800, 7000, 8900]))
+    sums = textarrays.prefix(data)
+    whole = suffix_dedup.anchors(block, sums)
+    assert len(set(zip(whole[0].tolist(), whole[1].tolist(), strict=True))) == len(whole[0])
+    for segment in (1, 7, 100, 1000):
+        for a, b in zip(whole, suffix_dedup.anchors(block, sums, segment=segment), strict=True):
+            assert np.array_equal(a, b), segment
+
+
+def test_unique_text_beyond_a_segment_stays(spark):
+    size = suffix_dedup.SEGMENT + 100_000
+    t = np.random.default_rng(9).integers(97, 123, size).astype(np.uint8).tobytes().decode()
+    got = suffix_dedup.repeated_bytes(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert (got["n_bytes"], got["n_removed"], got["n_spans"]) == (size, 0, 0)
+
+
 def test_decontamination(spark, docs, rows):
     items = spark.createDataFrame([(7, " ".join(rows[3][1].split()[20:40])), (8, rows[0][1]), (9, None), (10, "unseen words here")], "item_id long, text string")
     for limit in (10**6, 4):

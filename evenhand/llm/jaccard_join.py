@@ -417,15 +417,21 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that of the least key, the first of its repeats.
+    """``docs`` with one row of each component: that of the least key, a null one last; repeats of that row go too.
 
-    Rows with an empty set or a null key stay.
+    A row is known by the hash of key and text, so rows that share a key are
+    judged apart and rows without one are judged.  Rows with an empty set stay.
     """
-    found = similar_groups(docs, text, key)
-    gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_k")).distinct())
-    kept = docs.join(if_small(gone), F.col(key) == F.col("_k"), "left_anti")
-    repeated = written(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_k")))
+    row = F.xxhash64(key, text)
+    found = similar_groups(docs.select(row.alias("_row"), text), text, "_row").where("n_shingles > 0").distinct()
+    keys = docs.select(row.alias("_row"), F.col(key).alias("_k")).distinct()
+    members = written(found.join(keys, "_row").select("_row", "_k", "component_id"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_row")).alias("first")).select("first._row")
+    gone = written(members.select("_row").join(first, "_row", "left_anti"))
+    kept = docs.join(if_small(gone), row == F.col("_row"), "left_anti")
+    repeated = docs.groupBy(row.alias("_row")).count().where("count > 1").join(members, "_row", "left_semi")
+    repeated = written(repeated.select("_row"))
     if not repeated.count():
         return kept
-    once = kept.join(if_small(repeated), F.col(key) == F.col("_k"), "left_semi").dropDuplicates([key])
-    return kept.join(if_small(repeated), F.col(key) == F.col("_k"), "left_anti").unionByName(once)
+    once = kept.join(if_small(repeated), row == F.col("_row"), "left_semi").withColumn("_row", row).dropDuplicates(["_row"]).drop("_row")
+    return kept.join(if_small(repeated), row == F.col("_row"), "left_anti").unionByName(once)

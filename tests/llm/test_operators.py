@@ -128,6 +128,18 @@ def test_jaccard_groups(docs, rows):
     assert Counter(map(tuple, jaccard_join.similar_groups(docs).collect())) == want
 
 
+def test_one_of_each_by_row(spark):
+    rng = np.random.default_rng(5)
+    a, b, c, d, e = (text(rng, 60) for _ in range(5))
+    near = " ".join(a.split()[:-1] + ["changed"])
+    given = [(1, a), (2, near), (2, b), (2, b), (2, ""), (2, " "), (2, None), (3, c), (3, d), (None, e), (None, e), (None, near), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*x, "src") for x in given], "doc_id long, text string, source string")
+    want = [(1, a), (2, b), (2, ""), (2, " "), (2, None), (3, c), (3, d), (None, e), (None, ""), (None, "")]
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter((*x, "src") for x in want)
+
+
 def test_packing_and_encoder(docs, rows):
     import public_tokenizers
 

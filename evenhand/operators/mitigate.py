@@ -64,13 +64,13 @@ def constrained_round(scored: DataFrame, cut: float, target: float, groups: Data
     return rows.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("m")).drop("m")
 
 
-def compare(df: DataFrame, year: int, rounds: int = ROUNDS, trees: int = 10, floor: int = 100) -> DataFrame:
+def compare(df: DataFrame, year: int, rounds: int = ROUNDS, trees: int = 300, floor: int = 100) -> DataFrame:
     """The baseline and the three techniques, always together, with their cut of the gap."""
     train, test, _ = M.prepared(df, year)
     train, test = train.withColumn("weight", F.lit(1.0)).persist(), test.persist()
     groups = M.eligible_groups(test.withColumnRenamed("g", "gv"), "gv", floor).persist()
     rate = train.agg(F.avg("y")).first()[0]
-    fit = lambda rows, weight=None: M.boosted(rows, trees=trees, depth=4, weight=weight)
+    fit = lambda rows, weight=None: M.boosted(rows, trees=trees, weight=weight)
 
     def outcome(name: str, fitted, by_group: bool = False) -> DataFrame:
         own = M.scores(fitted, train)

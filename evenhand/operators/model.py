@@ -129,7 +129,7 @@ def evaluate(df: DataFrame, year: int, challengers: dict | None = None) -> DataF
     train, test, _ = prepared(df, year)
     train, test = train.persist(), test.persist()
     n = train.count()
-    challengers = challengers or {"logistic": lambda: logistic(train, n), "boosted": lambda: boosted(train, trees=20, depth=4)}
+    challengers = challengers or {"logistic": lambda: logistic(train, n), "boosted": lambda: boosted(train)}
     one = [exact_auc(scores(fit(), test), "score", "y").select(F.lit(name).alias("challenger"), F.lit(0.5).alias("baseline_auc"), "auc") for name, fit in challengers.items()]
     out = reduce(DataFrame.union, one)
     return out.select("*", (F.col("auc") * 2 - 1).alias("gini"), ((F.col("auc") - 0.5) / 0.5 * 100).alias("better_pct"))

@@ -635,7 +635,7 @@ def _(df):
 
 @query("a9_lender_controlled")
 def _(df):
-    top = [r["lei"] for r in A.keep(df, "not_purchased").groupBy("lei").count().orderBy(F.col("count").desc(), "lei").limit(3).collect()]
+    top = [r["lei"] for r in _gaps(df).where("on_watch_list").orderBy(F.col("shrunk_gap_pp").desc(), "lei").limit(25).collect()]
     return M.lender_controlled_gaps(df, top, "derived_race", "BUILDING", "FURNITURE")
 
 
@@ -686,7 +686,7 @@ def _(df):
 @query("r3_boosted")
 def _(df):
     train, test, _ = M.prepared(df, 2000)
-    return M.scores(M.boosted(train, trees=10, depth=4), test).select("app_id", "y", "score")
+    return M.scores(M.boosted(train), test).select("app_id", "y", "score")
 
 
 @query("r4_base_rate", " select app_id, (select round(avg(cast(action_taken='3' as double)), 6) from app where action_taken in ('1','2','3') and cast(activity_year as int) < 2000) as score from app where action_taken in ('1','2','3') and cast(activity_year as int) >= 2000")
@@ -703,8 +703,8 @@ def _(df):
 @query("r6_seed_table")
 def _(df):
     out = None
-    for seed in (0, 1):
-        drawn = S.stratified_draw(A.keep(df, "decisions_only"), "activity_year", "app_id", 20_000, seed)
+    for seed in (0, 1, 2):
+        drawn = S.stratified_draw(A.keep(df, "decisions_only"), "activity_year", "app_id", 1_500_000, seed)
         one = M.evaluate(drawn, 2000).withColumn("seed", F.lit(seed))
         out = one if out is None else out.union(one)
     return P.summary_over_seeds(out, "challenger", "auc")
@@ -755,7 +755,7 @@ def _(df):
 
 @query("r13_compare_techniques")
 def _(df):
-    return T.compare(df, 2000, rounds=2, trees=5)
+    return T.compare(df, 2000)
 
 
 CUTS = "+ o as (select activity_year as run, case derived_race when 'FURNITURE' then 'baseline' else derived_race end as technique, 100*avg(cast(action_taken='3' as double)) as gap, 100*avg(cast(action_taken='1' as double)) as acc from app group by 1, 2), b as (select run, gap as bg, acc as ba from o where technique='baseline'), c as (select technique, case when bg > 0 then (bg-gap)/bg*100 end as cut, acc-ba as dacc from o join b using (run)) select technique, round(min(cut),6) as cut_low, round(max(cut),6) as cut_high, round(min(dacc),6) as accuracy_low, round(max(dacc),6) as accuracy_high from c group by 1"
@@ -819,7 +819,7 @@ def _(df):
 @query("r22_network_score")
 def _(df):
     train, test, scaler = M.prepared(df, 2000)
-    return M.scores(M.network(train, len(scaler.names), rounds=10), test).select("app_id", "y", "score")
+    return M.scores(M.network(train, len(scaler.names)), test).select("app_id", "y", "score")
 
 
 @query("r23_probe_summary", RUNS + ", p as (select a.technique, a.v - b.v as v from runs a join runs b on a.seed=b.seed and b.technique='FURNITURE') select technique, round(avg(v),4) as mean, round(stddev_samp(v),4) as sd, round(min(v),4) as low, round(max(v),4) as high from p group by 1")

@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express the tokenizer, nor the keyed permutation; tests hold the stages against brute force.
+#: SQL cannot express the tokenizer, nor the keyed permutation; the near duplicates stage has a test of its own, the whole run has none.
 ORACLE_SQL = None
 
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
-from .textarrays import ALNUM, Block, Words, blocks, column, grams, word_hashes, words
+from .tables import bounded_batches, fresh, written
+from .textarrays import ALNUM, Block, Words, blocks, column, grams, tidy, word_hashes, words
 
 #: Words of a window.
 WINDOW = 10
@@ -48,7 +48,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, text: str = "text", key
                         out["gram"].append(g)
             yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["gram"], pa.binary())], ["item", "size", "gram"])
 
-    return items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("t")).mapInArrow(cut, "item string, size int, gram binary").distinct()
+    return items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("t")).mapInArrow(tidy(cut), "item string, size int, gram binary").distinct()
 
 
 class Windows:
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, shared, text: str, key: str, spans: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = f"id {kind}, n_words long, hits array<int>, items array<string>" + ", spans array<long>" * spans
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, fields)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), fields)
 
 
 def contamination(
@@ -162,25 +162,29 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, max_share: float = 0.5, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, max_share: float = 0.5, window: int = WINDOW, slice_rows: int = SLICE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without benchmark passages: hit runs of words are cut out of the text.
 
     A document of which more than ``max_share`` of the words are hit goes
     entirely.  One narrow pass over the rows; every other column passes
-    through.  Texts without a hit are untouched, nulls included.
+    through.  Texts without a hit are untouched, nulls and empties included;
+    repeated rows are cut alike; an empty table stays empty and an empty
+    benchmark changes nothing.  A benchmark beyond ``slice_rows`` windows
+    takes a pass for each slice, with one slice in memory at a time; the cut
+    comes last, on the input's text.
     """
-    names = docs.columns
-    grams_by = item_windows(items, window, text)
-    grams_by = written(grams_by.groupBy("gram").agg(F.min("size").alias("size"), F.collect_set("item").alias("items")))
-    parts = max(1, -(-grams_by.count() // SLICE))
+    bounded_batches(docs.sparkSession)
+    names, hit = docs.columns, fresh(docs, "_hit")
+    grams_by = written(item_windows(items, window, text).groupBy("gram").agg(F.min("size").alias("size")))
+    parts = max(1, -(-grams_by.count() // slice_rows))
     sc = docs.sparkSession.sparkContext
-    # Slices mark words in a column of their own; the cut comes last, on the input's text.
-    marked = docs.withColumn("_hit", F.array().cast("array<int>"))
+    marked = docs.withColumn(hit, F.array().cast("array<int>"))
     for p in range(parts):
         some = grams_by if parts == 1 else grams_by.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == p)
-        shared = sc.broadcast(Windows([(r["size"], bytes(r["gram"]), []) for r in some.collect()]))  # at most about SLICE
-        marked = _mark(marked, shared, text)
-    return _cut(marked, text, max_share).select(*names)
+        shared = sc.broadcast(Windows([(r["size"], bytes(r["gram"]), []) for r in some.collect()]))  # at most about slice_rows
+        if p + 1 < parts:
+            marked = written(_marked(marked, shared, text, hit))
+    return _cut(marked, shared, text, hit, max_share).select(*names)
 
 
 def _hit_words(block: Block, w: Words, known: Windows) -> np.ndarray:
@@ -199,29 +203,34 @@ def _hit_words(block: Block, w: Words, known: Windows) -> np.ndarray:
     return mark
 
 
-def _mark(docs: DataFrame, shared, text: str) -> DataFrame:
+def _with_marks(batch: pa.RecordBatch, known: Windows, text: str, hit: str) -> list:
+    """Of each row the numbers of its hit words, those marked before included."""
+    seen, hits = column(batch, hit).to_pylist(), []
+    for block in blocks(column(batch, text), lower=True):
+        w = words(block, ALNUM)
+        mark = _hit_words(block, w, known)
+        at = np.searchsorted(w.doc, np.arange(block.docs + 1))
+        for d in range(block.docs):
+            new = np.flatnonzero(mark[at[d] : at[d + 1]])
+            old = seen[block.first + d]
+            hits.append(np.union1d(old, new).astype(np.int64) if old else new)
+    return hits
+
+
+def _marked(docs: DataFrame, shared, text: str, hit: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            seen, hits = column(batch, "_hit").to_pylist(), []
-            for block in blocks(column(batch, text), lower=True):
-                w = words(block, ALNUM)
-                mark = _hit_words(block, w, known)
-                at = np.searchsorted(w.doc, np.arange(block.docs + 1))
-                for d in range(block.docs):
-                    new = np.flatnonzero(mark[at[d] : at[d + 1]])
-                    old = seen[block.first + d]
-                    hits.append(sorted({*old, *new.tolist()}) if old else new)
-            k = batch.schema.get_field_index("_hit")
+            hits = _with_marks(batch, shared.value, text, hit)
+            k = batch.schema.get_field_index(hit)
             yield batch.set_column(k, batch.schema.field(k), pa.array(hits, pa.list_(pa.int32())).cast(batch.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def _cut(docs: DataFrame, text: str, max_share: float) -> DataFrame:
+def _cut(docs: DataFrame, shared, text: str, hit: str, max_share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hits = column(batch, text), column(batch, "_hit")
+            texts, hits = column(batch, text), _with_marks(batch, shared.value, text, hit)
             keep = np.ones(batch.num_rows, bool)
             if not any(len(h) for h in hits):
                 yield batch
@@ -235,7 +244,7 @@ def _cut(docs: DataFrame, text: str, max_share: float) -> DataFrame:
                 at = np.searchsorted(w.doc, np.arange(block.docs + 1))
                 for d in busy:
                     i = block.first + d
-                    where = np.array(hits[i].as_py())
+                    where = hits[i]
                     if len(where) > max_share * (at[d + 1] - at[d]):
                         keep[i] = False
                         continue
@@ -248,4 +257,4 @@ def _cut(docs: DataFrame, text: str, max_share: float) -> DataFrame:
             batch = batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -26,8 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, if_small, written
-from .textarrays import NOT_SPACE, P, U, Block, blocks, column, doc_bounds, grams, mix, word_hashes, words
+from .tables import bounded_batches, components, fresh, if_small, written
+from .textarrays import NOT_SPACE, P, U, Block, blocks, column, doc_bounds, grams, mix, tidy, word_hashes, words
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -39,9 +39,9 @@ SKETCH, PROBES = 24, 6
 #: Times that the classes of frequent tokens are linked to a hub.
 HUBS = 3
 #: Hashes that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: Hashes in one bucket of a shuffle of packed arrays.
-BUCKET = 1_000_000
+BUCKET = 250_000
 
 
 def shingle_sets(block: Block) -> list[np.ndarray]:
@@ -104,19 +104,18 @@ def _classes(docs: DataFrame) -> DataFrame:
                     bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bits, pa.binary())], ["id", "c", "n", "sketch", "bits"])
 
-    return docs.mapInArrow(run, f"id {kind}, c long, n long, sketch binary, bits binary")
+    return docs.mapInArrow(tidy(run), f"id {kind}, c long, n long, sketch binary, bits binary")
 
 
 def _packed(out: list[np.ndarray], buckets: int, *more: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, data, data2...) of the hashes, a bucket being a range of them."""
+    """Rows (bucket, data, data2...) of the hashes, a bucket being a range of them; only buckets that have some."""
     h = np.concatenate(out) if out else np.zeros(0, np.uint64)
     order = np.argsort(h, kind="stable")
     h = h[order]
-    width = (1 << 64) // buckets + 1
-    cut = np.searchsorted(h, np.array([i * width for i in range(1, buckets)], dtype=np.uint64))
-    cut = [0, *cut.tolist(), len(h)]
-    keep = [i for i in range(buckets) if cut[i + 1] > cut[i]]
-    arrays = [pa.array(keep, pa.int32())] + [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()) for x in (h, *(m[order] for m in more))]
+    bucket = (h // U((1 << 64) // buckets + 1)).astype(np.int32)
+    cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64), len(h))
+    parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    arrays = [pa.array(bucket[cut[:-1]])] + [pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (h, *(m[order] for m in more))]
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *(f"d{i}" for i in range(len(arrays) - 1))])
 
 
@@ -157,7 +156,7 @@ def _often(docs: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
         at = total >= OFTEN
         return pa.table({"token": pa.array(each[at].view(np.int64)), "n": pa.array(total[at])})
 
-    packed = docs.select("t").mapInArrow(count, "bucket int, d0 binary, d1 binary")
+    packed = docs.select("t").mapInArrow(tidy(count), "bucket int, d0 binary, d1 binary")
     often = written(packed.groupBy("bucket").applyInArrow(add, "token long, n long"))
     top = often.orderBy(F.col("n").desc(), "token").limit(MOST_OFTEN).toPandas()  # bounded
     token = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -201,7 +200,7 @@ def _members(docs: DataFrame, often: Broadcast) -> DataFrame:
                         hot.append(b.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(hot, pa.list_(pa.int64()))], ["c", "g", "n", "rare", "hot"])
 
-    return docs.select("t").mapInArrow(run, "c long, g long, n long, rare long, hot array<long>")
+    return docs.select("t").mapInArrow(tidy(run), "c long, g long, n long, rare long, hot array<long>")
 
 
 def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
@@ -238,7 +237,7 @@ def _shared_rare(docs: DataFrame, often: Broadcast, entries: int) -> DataFrame:
         at = np.repeat(several, np.diff(np.append(start, len(t))))
         return pa.table({"token": pa.array(t[at].view(np.int64)), "g": pa.array(g[at].view(np.int64))})
 
-    packed = docs.select("t").mapInArrow(post, "bucket int, d0 binary, d1 binary")
+    packed = docs.select("t").mapInArrow(tidy(post), "bucket int, d0 binary, d1 binary")
     return packed.groupBy("bucket").applyInArrow(shared, "token long, g long").distinct()
 
 
@@ -280,7 +279,7 @@ def _pivot_pairs(classes: DataFrame) -> DataFrame:
                 keep.append(2 * len(np.intersect1d(np.intersect1d(x, y, True), union, True)) >= len(union))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(similar), "a long, b long")
 
 
 def _hub_pairs(spilt: DataFrame, turn: int) -> DataFrame:
@@ -309,7 +308,14 @@ def _possible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = [(UP + DOWN) * most_shared(x, y, nx, ny) >= UP * (nx + ny) for x, y, nx, ny in each]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(similar, "a long, b long")
+    return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(tidy(similar), "a long, b long")
+
+
+def _sets_of(part: pa.RecordBatch, name: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the classes in a column, each hashed once, and each row's place among them."""
+    _, first, place = np.unique(np.array(column(part, name)), return_index=True, return_inverse=True)
+    texts = column(part, f"t{name}").take(pa.array(first))
+    return [s for block in blocks(texts, lower=True) for s in shingle_sets(block)], place
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -325,21 +331,23 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             c = [class_of(s) if len(s) else None for block in blocks(column(batch, "t"), lower=True) for s in shingle_sets(block)]
             yield batch.filter(pa.array([x == y for x, y in zip(c, column(batch, "c").to_pylist(), strict=True)], pa.bool_()))
 
-    texts = texts.mapInArrow(own, "c long, t string")
+    texts = texts.mapInArrow(tidy(own), "c long, t string")
     both = pairs.join(texts.withColumnsRenamed({"c": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"c": "b", "t": "tb"}), "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                left, right = ((s for block in blocks(column(part, t), lower=True) for s in shingle_sets(block)) for t in ("ta", "tb"))
+                # The rows come sorted by b: a class that many are held against is hashed once.
+                (left, i), (right, j) = (_sets_of(part, c) for c in "ab")
                 keep = []
-                for x, y in zip(left, right, strict=True):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = left[x], right[y]
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(DOWN * shared >= UP * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(similar, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(similar), "a long, b long").distinct()
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -384,6 +392,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     component is the least non-null key that links reach; null keys take part.
     An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     rows = written(_classes(docs))
     classes = rows.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.min("id").alias("rep"))
@@ -423,15 +432,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     judged apart and rows without one are judged.  Rows with an empty set stay.
     """
     row = F.xxhash64(key, text)
+    name = fresh(docs, "_row")
     found = similar_groups(docs.select(row.alias("_row"), text), text, "_row").where("n_shingles > 0").distinct()
     keys = docs.select(row.alias("_row"), F.col(key).alias("_k")).distinct()
     members = written(found.join(keys, "_row").select("_row", "_k", "component_id"))
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_row")).alias("first")).select("first._row")
-    gone = written(members.select("_row").join(first, "_row", "left_anti"))
-    kept = docs.join(if_small(gone), row == F.col("_row"), "left_anti")
+    gone = written(members.select("_row").join(first, "_row", "left_anti").withColumnRenamed("_row", name))
+    kept = docs.join(if_small(gone), row == F.col(name), "left_anti")
     repeated = docs.groupBy(row.alias("_row")).count().where("count > 1").join(members, "_row", "left_semi")
-    repeated = written(repeated.select("_row"))
+    repeated = written(repeated.select(F.col("_row").alias(name)))
     if not repeated.count():
         return kept
-    once = kept.join(if_small(repeated), row == F.col("_row"), "left_semi").withColumn("_row", row).dropDuplicates(["_row"]).drop("_row")
-    return kept.join(if_small(repeated), row == F.col("_row"), "left_anti").unionByName(once)
+    once = kept.join(if_small(repeated), row == F.col(name), "left_semi").withColumn(name, row).dropDuplicates([name]).drop(name)
+    return kept.join(if_small(repeated), row == F.col(name), "left_anti").unionByName(once)

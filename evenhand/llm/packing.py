@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoders import WordPieces, loaded
-from .tables import written
-from .textarrays import column
+from .tables import bounded_batches, written
+from .textarrays import column, tidy
 
 CAPACITY = 4096
 END = 1
@@ -56,8 +56,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
                     [key, "piece", "start", "length", "ids_crc32"],
                 )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(tidy(encode), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

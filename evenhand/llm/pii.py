@@ -3,7 +3,9 @@
 Every value that looks personal is found by one pattern, validated by kind
 (Luhn, calendar, octets, ...), and permuted within its format by a keyed
 Feistel network on Z_a x Z_b, a bijection for any a and b.  Equal values get
-equal pseudonyms in every document, and no two values share one.
+equal pseudonyms in every document, and no two numbers, dates or account
+numbers share one.  Emails and secret keys have no fixed format to permute:
+they become keyed digests of 80 bits or more, which could collide in theory.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 ROUNDS = 8
 
 #: Lengths of account numbers by country.  In groups of four only these tell where one ends and a word begins.
@@ -32,7 +36,7 @@ GROUPED_IBAN = "|".join(_grouped_iban(n, c) for n, c in IBAN_LENGTHS.items())
 #: end a sentence, so labels are given back.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,251}|xox[abprs]-[A-Za-z0-9\-]{10,250}|sk-[A-Za-z0-9_\-]{20,250}+)(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED_IBAN})(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})(?![A-Za-z0-9])",
@@ -43,8 +47,10 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Nothing matches in a text without either.
-HINT = "[@0-9]"
+#: Beginnings of secret keys that stay (fixed values).
+KEY_STARTS = r"^(A[KS]IA|gh[opsur]_|xox[abprs]-|sk-)?"
+#: Nothing matches in a text without any.
+HINT = "[@0-9]|A[KS]IA|gh[opsur]_|xox[abprs]-|sk-"
 
 #: Days of 400 Gregorian years are 189 x 773, so dates permute without a rest.
 DATE_A, DATE_B, DATE_FROM = 189, 773, "1800-01-01"
@@ -82,15 +88,32 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     )
 
 
-def refill(template: Column, digits: Column) -> Column:
-    """``template`` with its digits replaced in order."""
+def permute_letters(letters: Column, key: str, kind: str) -> Column:
+    """A string of up to 26 letters A-Z, permuted among those of its length (halves of 13 fit a long)."""
+    half = F.floor(F.length(letters) / 2).cast("int")
+    rest = F.length(letters) - half
+    size = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(1).cast("long"), lambda s, i: F.when(i > 0, s * 26).otherwise(s))
+    number = lambda x: F.aggregate(F.split(x, ""), F.lit(0).cast("long"), lambda s, c: F.when(c == "", s).otherwise(s * 26 + F.ascii(c) - 65))
+
+    def spelt(x: Column, n: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), x.alias("left"))
+        one = lambda s, i: F.when(i > 0, F.struct(F.concat(F.char(65 + s["left"] % 26), s["out"]).alias("out"), F.floor(s["left"] / F.lit(26).cast("decimal(2,0)")).cast("long").alias("left"))).otherwise(s)
+        return F.aggregate(F.sequence(F.lit(0), n), start, one, lambda s: s["out"])
+
+    left, right = F.substring(letters, F.lit(1), half), F.substring(letters, half + 1, rest)
+    pair = F.array(feistel(number(left), number(right), size(half), size(rest), key, f"{kind} letters"))
+    return F.element_at(F.transform(pair, lambda p: F.concat(spelt(p["l"], half), spelt(p["r"], rest))), 1)
+
+
+def refill(template: Column, new: Column, what: str = "[0-9]") -> Column:
+    """``template`` with its digits (or what else ``what`` matches) replaced in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     return F.aggregate(
         F.split(template, ""),
         start,
         lambda s, c: F.struct(
-            F.concat(s["out"], F.when(c.rlike("^[0-9]$"), F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (s["at"] + F.when(c.rlike("^[0-9]$"), 1).otherwise(0)).alias("at"),
+            F.concat(s["out"], F.when(c.rlike(f"^{what}$"), F.substring(new, s["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (s["at"] + F.when(c.rlike(f"^{what}$"), 1).otherwise(0)).alias("at"),
         ),
         lambda s: s["out"],
     )
@@ -198,7 +221,12 @@ def _iban(m: Column, key: str) -> Column:
         country = F.substring(m, 1, 2)
         return F.concat(country, F.lpad((98 - iban_rest(bare(F.concat(b, country, F.lit("00"))))).cast("string"), 2, "0"), b)
 
-    return F.when(valid & (F.length(digits) >= 2), _let(refill(body, permute_digits(digits, key, "iban")), checked))
+    def renewed(b: Column) -> Column:
+        letters = F.regexp_replace(b, "[^A-Z]", "")
+        return F.when(F.length(letters).between(1, 26), refill(b, permute_letters(letters, key, "iban"), "[A-Z]")).otherwise(b)
+
+    numbered = F.when(F.length(digits) >= 2, refill(body, permute_digits(digits, key, "iban"))).otherwise(body)
+    return F.when(valid, _let(_let(numbered, renewed), checked))
 
 
 def _keyed(m: Column, key: str, kind: str) -> Column:
@@ -208,12 +236,15 @@ def _keyed(m: Column, key: str, kind: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     """Not a number: a keyed digest for the name and the host, of the same shape."""
     d = _keyed(m, key, "email")
-    return F.concat(F.lit("user"), F.substring(d, 1, 12), F.lit("@mail"), F.substring(_keyed(F.substring_index(m, "@", -1), key, "host"), 1, 8), F.lit(".example.com"))
+    return F.concat(F.lit("user"), F.substring(d, 1, 20), F.lit("@mail"), F.substring(_keyed(F.substring_index(m, "@", -1), key, "host"), 1, 20), F.lit(".example.com"))
 
 
 def _token(m: Column, key: str) -> Column:
-    """Not a number either: a keyed digest of the same length."""
-    return F.substring(_keyed(m, key, "token"), F.lit(1), F.length(m))
+    """Not a number either: its beginning and a keyed digest, of the same length."""
+    start = F.regexp_extract(m, KEY_STARTS, 1)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("token"), m), 256)
+    digest = F.when(F.substring(start, 1, 1) == "A", F.upper(digest)).otherwise(digest)
+    return F.concat(start, F.substring(F.repeat(digest, 4), F.lit(1), F.length(m) - F.length(start)))
 
 
 MAKERS = {"email": _email, "token": _token, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}
@@ -235,25 +266,27 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     """``docs`` with personal values in ``text`` replaced, and ``found``: array of (kind, value), the new values in order.
 
     Values that fail their kind's validation stay.  A null text stays null with
-    an empty array; every other column passes through, an existing ``found``
-    column is replaced.  Narrow: no shuffle, no Python; repeated rows and ties
-    are each rewritten alike.
+    an empty array, an empty one stays empty, a long one is searched whole;
+    every other column passes through, an existing ``found`` column is
+    replaced; an empty table stays empty.  Narrow: no shuffle, no Python;
+    repeated rows and ties are each rewritten alike.
     """
     body = F.col(text)
     has = body.rlike(HINT)
     hits = F.when(has, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform(hits, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
     # One materialised column: the planner must not repeat the network in each use.
-    staged = docs.drop(found).withColumn("_new", new)
+    name = fresh(docs, "_new")
+    staged = docs.drop(found).withColumn(name, new)
     gaps = F.split(body, ANY, -1)
     joined = F.array_join(
-        F.zip_with(gaps, F.col("_new"), lambda g, m: F.concat(g, F.coalesce(m["new"]["value"], m["old"], F.lit("")))), ""
+        F.zip_with(gaps, F.col(name), lambda g, m: F.concat(g, F.coalesce(m["new"]["value"], m["old"], F.lit("")))), ""
     )
-    replaced = F.when(F.exists("_new", lambda m: m["new"].isNotNull()), joined).otherwise(body)
-    only = F.transform(F.filter("_new", lambda m: m["new"].isNotNull()), lambda m: m["new"])
+    replaced = F.when(F.exists(name, lambda m: m["new"].isNotNull()), joined).otherwise(body)
+    only = F.transform(F.filter(name, lambda m: m["new"].isNotNull()), lambda m: m["new"])
     # An absent array is an empty one.
     only = F.coalesce(only, F.array().cast("array<struct<kind:string,value:string>>"))
-    return staged.withColumns({text: replaced, found: only}).drop("_new")
+    return staged.withColumns({text: replaced, found: only}).drop(name)
 
 
 def count_of(found: str, kind: str) -> Column:

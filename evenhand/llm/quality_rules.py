@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import if_small, written
+from .tables import fresh, if_small, written
 
 #: Words below which a document fails, and the share of repeated words (percent) above which it does.
 MIN_WORDS, MAX_REPEAT = 20, 30
@@ -18,8 +18,10 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 MAX_SYMBOLS, MAX_DUP_LINES = 10, 5
 #: Words in a window.
 WINDOW = 8
-#: A host whose shrunken rate reaches REJECT goes; from WATCH on, soft failures count.
-REJECT, WATCH = 0.8, 0.4
+#: A host is bad if its failure rate surely lies above BAD: most of its documents fail.
+BAD = 0.5
+#: Normal quantile of "surely": 95 % of the posterior's mass lies on the stated side.
+SURE = 1.645
 #: Prior strength where the hosts do not vary or are too few to fit one.
 FLAT = 20.0
 
@@ -90,10 +92,13 @@ def failures() -> tuple[Column, Column]:
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, n_failed, host_rate): failure rates shrunk by the empirical beta prior.
+    """(host, n_docs, n_failed, host_rate, host_verdict): failure rates shrunk by the empirical beta prior.
 
     The prior's mean and strength are the moments over hosts; a null host is a
-    host of its own.  Counts are combined map-side, so a hot host costs no more.
+    host of its own.  A host is ``bad`` if its posterior lies above BAD with
+    certainty SURE, ``trusted`` if it lies below the prior's mean with it,
+    else ``ordinary``: so a few failures of a small host decide nothing.
+    Counts are combined map-side, so a hot host costs no more.
     """
     base, soft = failures()
     hosts = measured.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.when(base | soft, 1).otherwise(0)).alias("n_failed"))
@@ -102,27 +107,30 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     between = F.col("v") - F.col("noise")
     strength = F.when(between > 0, F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(1.0))).otherwise(F.lit(FLAT))
     prior = prior.select("m", F.least(strength, F.lit(1000.0)).alias("k"))  # one row
-    return hosts.crossJoin(F.broadcast(prior)).select(
-        host, "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))).alias("host_rate")
-    )
+    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k")))
+    p = F.col("host_rate")
+    margin = SURE * F.sqrt(p * (1 - p) / (F.col("n_docs") + F.col("k") + 1))
+    verdict = F.when(p - margin > BAD, "bad").when(p + margin < F.col("m"), "trusted").otherwise("ordinary")
+    return shrunk.select(host, "n_docs", "n_failed", "host_rate", verdict.alias("host_verdict"))
 
 
 def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
-    """Measures with base_failed, host_rate and kept.
+    """Measures with base_failed, host_rate, host_verdict and kept.
 
-    kept is false for a base failure, for any document of a host whose rate
-    reaches REJECT, and for a soft failure at a host from WATCH on.  An empty
-    or null text fails; an empty table gives no rows; repeated rows are judged
-    alike; other columns are ignored.
+    kept is false for a base failure, for every document of a bad host, and
+    for a soft failure unless its host is trusted.  An empty or null text
+    fails; an empty table gives no rows; repeated rows are judged alike; a
+    null host is a host; other columns are ignored.
     """
     base, soft = failures()
     rows = written(measures(docs, text, key, host))
-    hosts = host_rates(rows, host).select(F.col(host).alias("_h"), "host_rate")
-    kept = ~base & (F.col("host_rate") < REJECT) & ~(soft & (F.col("host_rate") >= WATCH))
+    h = fresh(rows, "_h")
+    hosts = host_rates(rows, host).select(F.col(host).alias(h), "host_rate", "host_verdict")
+    kept = ~base & (F.col("host_verdict") != "bad") & (~soft | (F.col("host_verdict") == "trusted"))
     return (
-        rows.join(hosts, F.col(host).eqNullSafe(F.col("_h")))
+        rows.join(hosts, F.col(host).eqNullSafe(F.col(h)))
         .withColumns({"base_failed": base, "kept": kept})
-        .drop("_h")
+        .drop(h)
     )
 
 
@@ -130,11 +138,12 @@ def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", host: st
     """``docs`` without the rows that ``judged`` rejects; every column passes through.
 
     A rejected row is known by the hash of key, text and host, so rows that
-    share a key are judged apart and repeated rows together.
+    share a key are judged apart and repeated rows together.  Null and empty
+    texts go; an empty table stays empty.
     """
+    name = fresh(docs, "_row")
     row = F.xxhash64(key, text, host)
-    rows = docs.select(key, text, host).withColumn("_row", row)
+    rows = docs.select(text, host, row.alias(name))
     # Judged under the hash; the key itself may be null or repeated.
-    judged_rows = judged(rows, text, "_row", host)
-    gone = written(judged_rows.where("not kept").select("_row").distinct())
-    return docs.join(if_small(gone), row == F.col("_row"), "left_anti")
+    gone = written(judged(rows, text, name, host).where("not kept").select(name).distinct())
+    return docs.join(if_small(gone), row == F.col(name), "left_anti")

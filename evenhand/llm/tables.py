@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +20,38 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of texts (30 MB at most where a text has 30 kB on average).
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS: a batch of texts is held twice, by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where none is set (tests)."""
+    """The folder that driver and executors share, with one of this application's own in it.
+
+    Where the session names none, a run on this machine alone (as in tests)
+    gets a temporary one; on a cluster that would be lost with an executor, so
+    there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evenhand-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/evenhand-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes what ``written`` has put into the shared folder; for a job to call once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,7 +61,7 @@ def written(df: DataFrame) -> DataFrame:
     with column pruning and with sizes that the planner knows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evenhand-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

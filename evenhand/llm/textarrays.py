@@ -6,7 +6,9 @@ whole documents, so memory is bounded by a block or by one long document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 U = np.uint64
 #: Fixed odd multiplier of the polynomial hash, and its inverse modulo 2**64.
@@ -61,6 +63,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function on Arrow batches that gives freed memory back at its end.
+
+    Spark keeps Python workers for the stages to come, where what a worker
+    holds on to would add to a full executor.
+    """
+
+    @functools.wraps(run)
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return bounded
+
+
 class Block(NamedTuple):
     """Documents first..last of a batch: bytes, and len+1 offsets into them."""
 

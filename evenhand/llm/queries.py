@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from .sql import SQL as SQL  # noqa: PLC0414  for __spark_entry__
 from .tables import documents
 
 #: The pseudonyms' key of the registered queries; a real run passes its own secret.
@@ -51,7 +52,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir)).withColumn("has_repeats", F.col("n_spans") > 0)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(documents(spark, sf_dir))
+    return quality_rules.judged(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +86,3 @@ QUERIES = {
         op8_quality_classifier, op9_lm_scoring, op10_quality_rules, pipeline,
     )
 }
-
-SQL: dict[str, str] = {}

@@ -62,10 +62,11 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return mix(mix(contexts(h) + U(P)) ^ (h * U(P))) >> U(8)
 
 
-def _cuts(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
-    """Where the bucket ranges of sorted hashes begin and end."""
-    width = (1 << (64 if kind == WORD else 56)) // buckets + 1
-    return np.concatenate([[0], np.searchsorted(keys, np.array([i * width for i in range(1, buckets)], dtype=np.uint64)), [len(keys)]]).astype(np.int64)
+def _cuts(keys: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the bucket ranges that sorted hashes have; as many as there are hashes at most."""
+    bucket = (keys // U((1 << (64 if kind == WORD else 56)) // buckets + 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True))
 
 
 def _write_keys(keys: np.ndarray, kind: int) -> bytes:
@@ -136,9 +137,8 @@ def _counted(dealt: DataFrame, chunks: int, buckets: tuple[int, int]) -> DataFra
         for kind, x in ((WORD, h), (PAIR, pair_hashes(h))):
             keys, inverse = np.unique(x, return_inverse=True)
             counts = np.bincount(inverse[learn], minlength=len(keys)).astype(np.uint32)
-            cut = _cuts(keys, kind, buckets[kind])
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                s = slice(cut[b], cut[b + 1])
+            for b, first, end in _cuts(keys, kind, buckets[kind]):
+                s = slice(first, end)
                 out["bucket"].append(b)
                 out["kind"].append(kind)
                 out["keys"].append(_write_keys(keys[s], kind))

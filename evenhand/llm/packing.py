@@ -33,7 +33,12 @@ FULL = 0.999
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, piece, start, length, ids_crc32): the ids of each whole text and an end id, cut at ``capacity``."""
+    """(key, piece, start, length, ids_crc32): the ids of each whole text and an end id, cut at ``capacity``.
+
+    A null or empty text is its end id; a long text's ids are in one task's
+    memory; repeated rows and null keys are rows like others; an empty table
+    gives no rows; other columns are ignored.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(WordPieces, path)

@@ -43,7 +43,7 @@ UPPER, DIGIT, PUNCT, SYMBOL, VOWEL = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _tabl
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """rows x STATISTICS; an empty or null text has zeros."""
+    """rows x STATISTICS; an empty or null text has zeros, and 1 as its share of distinct words."""
     out = [np.zeros((0, len(STATISTICS)))]
     for b in blocks(texts):
         at, data, n = b.at, b.data, np.diff(b.at).astype(float)
@@ -169,7 +169,9 @@ def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Trees:
     """Trees fitted on at most ``sample`` labelled documents outside the held-out fold.
 
-    Rows without a label or text row teach nothing; contradicting labels both count.
+    Rows without a label or text row teach nothing; contradicting labels both
+    count; a null text teaches as an empty one; without any labelled row every
+    score is one half.
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("_k"), "_k", "y").limit(sample)

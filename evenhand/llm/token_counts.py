@@ -22,7 +22,12 @@ SPAN = 1024
 
 
 def token_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encoded length of each document, as ``n_tokens``; a null or empty text has 0."""
+    """Encoded length of each document, as ``n_tokens``, a row per row.
+
+    A null or empty text has 0; long texts are encoded whole, and special
+    tokens as plain text; repeated rows count each time; an empty table gives
+    no rows; other columns are ignored.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(RankFile, path, pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
@@ -15,15 +16,33 @@ from evenhand.operators.sampling import exact_auc
 from evenhand.operators.screen import NO_GROUP, keep
 
 CODES = ("loan_type", "loan_purpose", "lien_status", "occupancy_type", "preapproval", "conforming_loan_limit", "construction_method", "total_units", "open-end_line_of_credit", "business_or_commercial_purpose", "reverse_mortgage")
-#: Name parts that no input may have (fixed values).
-FORBIDDEN = ("race", "ethnicity", "sex", "age", "action_taken", "denial", "census", "county", "tract", "lei")
+NUMBERS = ("loan_amount", "income", "debt_to_income_ratio", "loan_to_value_ratio", "property_value")
+#: The only columns that may become inputs.
+ALLOWED = (*NUMBERS, *CODES)
+#: Columns that tell the outcome (fixed values).
+LEAKING = (
+    "action_taken", "denial_reason-1", "denial_reason-2", "denial_reason-3", "denial_reason-4", "purchaser_type", "interest_rate", "rate_spread", "hoepa_status",
+    "total_loan_costs", "total_points_and_fees", "origination_charges", "discount_points", "lender_credits", "loan_term", "prepayment_penalty_term", "intro_rate_period",
+    "negative_amortization", "interest_only_payment", "balloon_payment", "other_nonamortizing_features", "aus-1", "aus-2", "aus-3", "aus-4", "aus-5",
+    "initially_payable_to_institution",
+)
+#: Places that stand in for protected groups (fixed values).
+PROXIES = ("tract_minority_population_percent", "census_tract", "county_code")
+
+
+def family(name: str) -> str:
+    """``allowed``, or why a column may not be an input: protected, leaking, proxy or unknown; whatever the case."""
+    low = name.lower()
+    if re.match(r"(derived_|applicant_|co-applicant_).*(race|ethnicity|sex|age)", low):
+        return "protected"
+    return "leaking" if low in LEAKING else "proxy" if low in PROXIES else "allowed" if low in ALLOWED else "unknown"
 
 
 def check_allowed(names: list[str]) -> list[str]:
-    """Raises for a protected, outcome-leaking or proxy input, by name part and whatever the case."""
-    odd = [n for n in names if any(part in n.lower().replace("mortgage", "").replace("coverage", "").split("_") or part in n.lower().replace("mortgage", "") and part not in ("age", "sex", "lei") for part in FORBIDDEN)]
+    """``names``, if each is on the list of allowed inputs; else an error that says which is not, and why."""
+    odd = [f"{n} ({family(n)})" for n in names if family(n) != "allowed"]
     if odd:
-        raise ValueError(f"inputs not allowed: {odd}")
+        raise ValueError(f"inputs not allowed: {', '.join(odd)}")
     return names
 
 
@@ -43,9 +62,8 @@ def one_hot(known: dict[str, list[str]], clean=replace_sentinels, drop_first: bo
 
 
 def feature_columns(df: DataFrame) -> dict[str, Column]:
-    out = {**numeric_features(), **one_hot(levels(df))}
-    check_allowed(list(out))
-    return out
+    check_allowed([*NUMBERS, *CODES])
+    return {**numeric_features(), **one_hot(levels(df))}
 
 
 def time_split(df: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
@@ -130,8 +148,10 @@ def evaluate(df: DataFrame, year: int, challengers: dict | None = None) -> DataF
     train, test = train.persist(), test.persist()
     n = train.count()
     challengers = challengers or {"logistic": lambda: logistic(train, n), "boosted": lambda: boosted(train)}
-    one = [exact_auc(scores(fit(), test), "score", "y").select(F.lit(name).alias("challenger"), F.lit(0.5).alias("baseline_auc"), "auc") for name, fit in challengers.items()]
-    out = reduce(DataFrame.union, one)
+    found = [(name, 0.5, exact_auc(scores(fit(), test), "score", "y").first()["auc"]) for name, fit in challengers.items()]  # a number each
+    for side in (train, test):
+        side.unpersist()
+    out = df.sparkSession.createDataFrame(found, "challenger string, baseline_auc double, auc double")
     return out.select("*", (F.col("auc") * 2 - 1).alias("gini"), ((F.col("auc") - 0.5) / 0.5 * 100).alias("better_pct"))
 
 
@@ -164,11 +184,12 @@ def controlled_gap(df: DataFrame, group: str, value: str, reference: str) -> flo
 
 
 def controlled_disparity(df: DataFrame, group: str = "derived_race", reference: str | None = None, floor: int = 100) -> DataFrame:
-    """(group_value, applications, raw_gap_pp, controlled_gap_pp, reference_group, status): both gaps, always together.
+    """(group_value, applications, raw_gap_pp, controlled_gap_pp, reference_group, status, race_not_reported_share): both gaps, always together.
 
     The reference is the least-denied group above the floor unless named;
-    groups below the floor keep their row without gaps.  The cleaned rows are
-    persisted once for all fits.
+    groups below the floor keep their row without gaps.  Beside gaps on race
+    stands the share of applications that report none, null for other groups.
+    The cleaned rows are persisted once for all fits.
     """
     df = keep(df, "not_purchased").select("action_taken", "income", "loan_to_value_ratio", "debt_to_income_ratio", "loan_purpose", "lien_status", group).persist()
     rates = {r["v"]: (r["n"], r["d"] / r["n"]) for r in df.groupBy(F.col(group).alias("v")).agg(F.count("*").alias("n"), F.sum(denied()).alias("d")).collect()}
@@ -177,12 +198,14 @@ def controlled_disparity(df: DataFrame, group: str = "derived_race", reference:
         if not eligible:
             raise ValueError("no group reaches the floor")
         reference = min(eligible, key=lambda v: (rates[v][1], v))
+    total = sum(n for n, _ in rates.values())
+    unknown = rates.get("Race Not Available", (0, 0))[0] / total if group == "derived_race" and total else None
     rows = []
     for v, (n, r) in sorted(rates.items(), key=lambda x: str(x[0])):
         ok = v in eligible and v != reference
-        rows.append((v, n, 100 * (r - rates[reference][1]) if ok else None, controlled_gap(df, group, v, reference) if ok else None, reference, "REFERENCE" if v == reference else "OK" if ok else "SUPPRESSED"))
+        rows.append((v, n, 100 * (r - rates[reference][1]) if ok else None, controlled_gap(df, group, v, reference) if ok else None, reference, "REFERENCE" if v == reference else "OK" if ok else "SUPPRESSED", unknown))
     df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "group_value string, applications long, raw_gap_pp double, controlled_gap_pp double, reference_group string, status string")
+    return df.sparkSession.createDataFrame(rows, "group_value string, applications long, raw_gap_pp double, controlled_gap_pp double, reference_group string, status string, race_not_reported_share double")
 
 
 def lender_controlled_gaps(df: DataFrame, lenders: list[str], group: str, value: str, reference: str) -> DataFrame:

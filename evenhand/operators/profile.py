@@ -18,9 +18,9 @@ def sentinel_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, distinct_values, null_rows, sentinel_rows): one scan; values are counted apart by column."""
+    """(column, type, distinct_values, null_rows, sentinel_rows): one scan; values are counted apart by column."""
     one = df.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("d", F.countDistinct), ("n", lambda c: F.count_if(F.col(c).isNull())), ("s", lambda c: F.count_if(F.col(c).isin(sentinels(c)))))))
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_values"), F.col(f"n{i}").alias("null_rows"), F.col(f"s{i}").alias("sentinel_rows")) for i, c in enumerate(columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col(f"d{i}").alias("distinct_values"), F.col(f"n{i}").alias("null_rows"), F.col(f"s{i}").alias("sentinel_rows")) for i, c in enumerate(columns)]
     return one.select(F.inline(F.array(*rows)))
 
 
@@ -47,7 +47,7 @@ def missing_gap(df: DataFrame, columns: list[str]) -> DataFrame:
 
     is_denied = F.col("action_taken") == "3"
     one = df.agg(*(F.avg(F.when(is_denied if k == "d" else ~is_denied, to_float(c).isNull().cast("double"))).alias(f"{k}{i}") for i, c in enumerate(columns) for k in "do"))
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("missing_denied"), F.col(f"o{i}").alias("missing_other"), (F.col(f"d{i}") - F.col(f"o{i}")).alias("gap")) for i, c in enumerate(columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col(f"d{i}").alias("missing_denied"), F.col(f"o{i}").alias("missing_other"), (F.col(f"d{i}") - F.col(f"o{i}")).alias("gap")) for i, c in enumerate(columns)]
     return one.select(F.inline(F.array(*rows)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,37 +28,43 @@ def stratified_draw(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     rows = df.withColumns({"_s": F.col(stratum), "_o": order})
     share = quotas(df.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("rows")), n)
-    rows = rows.join(F.broadcast(share), F.col("_s").eqNullSafe(F.col("stratum"))).withColumn("_p", F.pmod(F.xxhash64("_o"), F.lit(parts)))
+    rows = rows.join(share, F.col("_s").eqNullSafe(F.col("stratum"))).withColumn("_p", F.pmod(F.xxhash64("_o"), F.lit(parts)))
     first = Window.partitionBy("_s", "_p").orderBy("_o", key)
     rows = rows.withColumn("_r", F.row_number().over(first)).where("_r <= quota")
     last = Window.partitionBy("_s").orderBy("_o", key)
     return rows.withColumn("_r", F.row_number().over(last)).where("_r <= quota").select(*df.columns)
 
 
-def exact_auc(scores: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+def exact_auc(scores: DataFrame, score: str, label: str, by: tuple[str, ...] = (), part: Column | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half, per ``by``.
 
     Rows are counted by distinct score first.  Running sums go by ranges of
-    scores, then within a range, so no task sees them all.
+    scores, then within a range, so no task sees them all; ``part`` numbers
+    the ranges, in the order of the scores ``s`` (for scores from 0 to 1, 4,096
+    even ones).  Both uses of the counts read the same columns, so Spark
+    computes them once.
     """
     each = scores.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
-    each = each.withColumn("part", F.floor(F.col("s") * 256))
-    parts = each.groupBy(*by, "part").agg(F.sum("neg").alias("n"))
-    before = Window.partitionBy(*(by or (F.lit(1),))).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below_part"))
+    each = each.withColumn("part", F.floor(F.col("s") * 4096) if part is None else part)
+    parts = each.groupBy(*by, "part").agg(F.sum("neg").alias("n"), F.sum("pos").alias("p"))
+    whole = Window.partitionBy(*(by or (F.lit(1),)))  # a row per range
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below_part"), F.sum("n").over(whole).alias("negatives"), F.sum("p").over(whole).alias("positives"))
     inside = Window.partitionBy(*by, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     rows = each.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(parts, [*by, "part"])
     hits = F.sum(F.col("pos") * (F.col("below") + F.col("below_part") + F.col("neg") / 2.0))
     out = rows.groupBy(*by) if by else rows.groupBy()
-    return out.agg(F.try_divide(hits, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    return out.agg(hits.alias("hits"), F.max("positives").alias("positives"), F.max("negatives").alias("negatives")).select(
+        *by, F.try_divide("hits", F.col("positives").cast("double") * F.col("negatives")).alias("auc"), "positives", "negatives"
+    )
 
 
 def feature_auc(df: DataFrame, features: dict, label) -> DataFrame:
     """(feature, auc): the better direction's AUC of each input alone; constants are left out, missing rows too."""
     long = df.select(label.alias("y"), F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.cast("double").alias("x")) for n, c in features.items()))).alias("f"))
-    long = long.select("y", "f.feature", "f.x").where("x is not null")
-    # Scores for the range split: the rank matters alone, so squash to 0..1.
-    long = long.withColumn("s", F.col("x") / (F.lit(1.0) + F.abs("x")))
+    long = long.select("y", "f.feature", F.col("f.x").alias("x")).where("x is not null")
     spread = long.groupBy("feature").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("feature")
-    found = exact_auc(long.join(F.broadcast(spread), "feature"), "s", "y", ("feature",))  # one row per feature
+    # Ranges by magnitude, 64 to a doubling: the values themselves are ranked.
+    part = (F.floor(F.log2(1.0 + F.abs("s")) * 64) * F.signum("s")).cast("bigint")
+    found = exact_auc(long.join(F.broadcast(spread), "feature"), "x", "y", ("feature",), part)  # one row per feature
     return found.select("feature", F.greatest("auc", 1.0 - F.col("auc")).alias("auc"))

@@ -13,7 +13,7 @@ def table_parity(left: DataFrame, right: DataFrame, keys: list[str], values: lis
 
 
 def parity_rows(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: float | None = None) -> DataFrame:
-    """The joined keys with ``side``; values are equal exactly, or within the tolerance."""
+    """The joined keys with ``side``; values are equal exactly, or (numbers) within the tolerance."""
     a = left.select(*(F.col(k).alias(f"{k}_a") for k in keys), *(F.col(v).alias(f"{v}_a") for v in values), F.lit(True).alias("in_a"))
     b = right.select(*(F.col(k).alias(f"{k}_b") for k in keys), *(F.col(v).alias(f"{v}_b") for v in values), F.lit(True).alias("in_b"))
     on: Column = F.lit(True)
@@ -22,16 +22,25 @@ def parity_rows(left: DataFrame, right: DataFrame, keys: list[str], values: list
     same: Column = F.lit(True)
     for v in values:
         x, y = F.col(f"{v}_a"), F.col(f"{v}_b")
-        same = same & (x.eqNullSafe(y) if tolerance is None else (x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))))
+        exact = tolerance is None or left.schema[v].dataType.typeName() in ("string", "boolean")
+        same = same & (x.eqNullSafe(y) if exact else (x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))))
     side = F.when(F.col("in_b").isNull(), "only_left").when(F.col("in_a").isNull(), "only_right").when(same, "matched").otherwise("mismatched")
     return a.join(b, on, "full_outer").select(*(F.coalesce(f"{k}_a", f"{k}_b").alias(k) for k in keys), side.alias("side"))
 
 
-def set_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def set_parity(left: DataFrame, right: DataFrame, key: str, undefined: DataFrame | None = None) -> DataFrame:
+    """(left_size, right_size, both, differ[, explained, unexplained]) of two sets.
+
+    With ``undefined``, the keys that have a ratio of 0 to 0, a difference is
+    explained if its key is one of those.
+    """
     a, b = (x.select(key).distinct().withColumn(c, F.lit(1)) for x, c in ((left, "a"), (right, "b")))
-    return a.join(b, key, "full_outer").agg(
-        F.count("a").alias("left_size"), F.count("b").alias("right_size"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("differ")
-    )
+    rows, differs = a.join(b, key, "full_outer"), F.col("a").isNull() | F.col("b").isNull()
+    counts = [F.count("a").alias("left_size"), F.count("b").alias("right_size"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(differs).alias("differ")]
+    if undefined is not None:
+        rows = rows.join(undefined.select(key).distinct().withColumn("u", F.lit(1)), key, "left")
+        counts += [F.count_if(differs & F.col("u").isNotNull()).alias("explained"), F.count_if(differs & F.col("u").isNull()).alias("unexplained")]
+    return rows.agg(*counts)
 
 
 def recount(df: DataFrame) -> DataFrame:
@@ -66,12 +75,16 @@ def claims_hold(results: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def facts(df: DataFrame) -> DataFrame:
-    """(fact, value, basis): the table's size in single numbers."""
+    """(fact, value, basis): the table's size in single numbers, and how many inputs the models may use."""
+    from .model import ALLOWED
+
     one = df.agg(
         F.count("*").alias("rows"), F.countDistinct("lei").alias("lenders"), F.countDistinct("activity_year").alias("years"), F.min(F.col("activity_year").try_cast("int")).alias("first_year"),
         F.max(F.col("activity_year").try_cast("int")).alias("last_year"), (F.count_if(F.col("derived_race") == "Race Not Available") / F.count("*")).alias("not_available_share"),
     )
-    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("fact"), F.col(c).cast("double").alias("value"), F.lit("counted").alias("basis")) for c in one.columns))))
+    rows = [F.struct(F.lit(c).alias("fact"), F.col(c).cast("double").alias("value"), F.lit("counted").alias("basis")) for c in one.columns]
+    declared = F.struct(F.lit("features").alias("fact"), F.lit(float(len(ALLOWED))).alias("value"), F.lit("declared").alias("basis"))
+    return one.select(F.inline(F.array(*rows, declared)))
 
 
 def with_provenance(df: DataFrame, label: str, rows: int, sample: int | None = None, seed: int | None = None) -> DataFrame:

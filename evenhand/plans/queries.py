@@ -58,9 +58,10 @@ Z = "2.0 - {income}/100000.0 + {loan}/{income}/2.0 + {rank}/20.0"
 
 def demo_scores(df: DataFrame) -> DataFrame:
     """Decisions with a closed-form denial score, as R7 to R19 need one."""
-    rows = A.keep(df, "decisions_only")
+    # Missing ratios go by their text: a filter on the rank would be pushed into the scan with the register's own cases in each branch.
+    rows = A.keep(df, "decisions_only").where(~F.trim("debt_to_income_ratio").isin(C.MISSING_TEXT))
     rows = rows.select("app_id", "lei", F.col("derived_race").alias("g"), C.denied().alias("y"), C.to_float("loan_amount").alias("principal"), (C.to_float("income") * 1000.0).alias("inc"), C.debt_to_income_rank().alias("rank"))
-    rows = rows.where("inc is not null and inc > 0 and rank is not null")
+    rows = rows.where("inc > 0")
     return rows.withColumn("score", demo_score(F.lit(0.0)))
 
 
@@ -122,7 +123,7 @@ def _(df):
 
 @query("f7_allowed_projection", f" select app_id, loan_type, loan_purpose, {NUM('loan_amount')} as loan_amount from app")
 def _(df):
-    M.check_allowed(["loan_type", "loan_purpose", "loan_amount"])
+    M.check_allowed(["loan_type", "loan_purpose", "loan_amount"])  # raises for any other kind of column
     return df.select("app_id", "loan_type", "loan_purpose", C.to_float("loan_amount").alias("loan_amount"))
 
 
@@ -281,7 +282,7 @@ def _two_counts(df):
 
 
 PAIR = """+ a as (select lei, derived_race, count(*) as n, avg(cast(action_taken='3' as double)) as rate from kept where lei <> 'L000001' group by 1,2), b as (select lei, derived_race, count(*) as n, avg(cast(action_taken='3' as double)) as rate from app where action_taken in ('1','2','3') and lei <> 'L000002' group by 1,2),
- m as (select coalesce(a.lei,b.lei) as lei, a.n as an, b.n as bn, a.rate as ar, b.rate as br from a full join b on a.lei=b.lei and a.derived_race=b.derived_race)"""
+ m as (select coalesce(a.lei,b.lei) as lei, a.n as an, b.n as bn, a.rate as ar, b.rate as br from a full join {b} b on a.lei=b.lei and a.derived_race=b.derived_race)"""
 
 
 @query("j4_table_parity", PAIR + " select count(*) filter (where bn is null) as only_left, count(*) filter (where an is null) as only_right, count(*) filter (where an is not null and bn is not null and an<>bn) as mismatched, count(*) filter (where an=bn) as matched from m")
@@ -397,7 +398,7 @@ def _(df):
 DICT = ("action_taken", "lei", "derived_race", "income", "debt_to_income_ratio", "property_value")
 
 
-@query("g10_dictionary", " union all ".join(f"select '{c}' as \"column\", count(distinct {c}) as distinct_values, count(*) filter (where {c} is null) as null_rows, count(*) filter (where {c} in ({', '.join(repr(s) for s in C.sentinels(c))})) as sentinel_rows from app" for c in DICT))
+@query("g10_dictionary", " union all ".join(f"select '{c}' as \"column\", 'string' as type, count(distinct {c}) as distinct_values, count(*) filter (where {c} is null) as null_rows, count(*) filter (where {c} in ({', '.join(repr(s) for s in C.sentinels(c))})) as sentinel_rows from app" for c in DICT))
 def _(df):
     return P.dictionary(df, list(DICT))
 
@@ -547,13 +548,14 @@ def _(df):
     return A.flagged_lenders(A.lender_screen(df)).select("lei")
 
 
-SETS = f"+ {SCREEN}, fa as (select distinct lei from scr where ratio < 0.8 and group_column='derived_race'), fb as (select distinct lei from scr where ratio < 0.8 and group_column='derived_sex'), m as (select fa.lei as x, fb.lei as y from fa full join fb on fa.lei=fb.lei) select count(x) as left_size, count(y) as right_size, count(*) filter (where x is not null and y is not null) as both, count(*) filter (where x is null or y is null) as differ from m"
+SETS = f"+ {SCREEN}, fa as (select distinct lei from scr where ratio < 0.8 and group_column='derived_race'), fb as (select distinct lei from scr where ratio < 0.8 and group_column='derived_sex'), m as (select fa.lei as x, fb.lei as y from fa full join fb on fa.lei=fb.lei) select count(x) as left_size, count(y) as right_size, count(*) filter (where x is not null and y is not null) as both, count(*) filter (where x is null or y is null) as differ, count(*) filter (where (x is null or y is null) and u.lei is not null) as explained, count(*) filter (where (x is null or y is null) and u.lei is null) as unexplained from m left join (select distinct lei from scr where status='UNDEFINED' and group_column in ('derived_race','derived_sex')) u on u.lei = coalesce(x, y)"
 
 
 @query("u2_set_comparison", SETS)
 def _(df):
-    rows = A.lender_screen(df).where("flagged")
-    return V.set_parity(rows.where("group_column = 'derived_race'"), rows.where("group_column = 'derived_sex'"), "lei")
+    rows = A.lender_screen(df).where("group_column in ('derived_race', 'derived_sex')")
+    flagged = rows.where("flagged")
+    return V.set_parity(flagged.where("group_column = 'derived_race'"), flagged.where("group_column = 'derived_sex'"), "lei", rows.where("status = 'UNDEFINED'"))
 
 
 @query("u3_pooled_edges", f" select round(quantile_cont(v, 0.1), 6) as p10, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.9), 6) as p90 from (select {NUM('loan_amount')} as v from app where activity_year in ('1996','1997'))")
@@ -625,12 +627,14 @@ def _(df):
     return M.controlled_disparity(df)
 
 
-@query("a8_raw_gap", "+ r as (select derived_race as group_value, count(*) as applications, avg(cast(action_taken='3' as double)) as d from kept group by 1), f as (select arg_min(group_value, (d, group_value)) as ref, min(d) as rd from r where applications >= 100) select group_value, applications, case when applications >= 100 and group_value <> ref then round(100*(d-rd), 6) end as raw_gap_pp, ref as reference_group from r, f")
+@query("a8_raw_gap", "+ r as (select derived_race as group_value, count(*) as applications, avg(cast(action_taken='3' as double)) as d from kept group by 1), f as (select arg_min(group_value, (d, group_value)) as ref, min(d) as rd from r where applications >= 100) select group_value, applications, case when applications >= 100 and group_value <> ref then round(100*(d-rd), 6) end as raw_gap_pp, ref as reference_group, round((select avg(cast(derived_race='Race Not Available' as double)) from kept), 6) as race_not_reported_share from r, f")
 def _(df):
     rates = A.group_rates(df, "derived_race")
     ref = rates.where(F.col("applications") >= 100).agg(F.min(F.struct("denial_rate", "group_value")).alias("r"))
     gap = F.when((F.col("applications") >= 100) & (F.col("group_value") != F.col("r.group_value")), F.round(100 * (F.col("denial_rate") - F.col("r.denial_rate")), 6))
-    return rates.crossJoin(F.broadcast(ref)).select("group_value", "applications", gap.alias("raw_gap_pp"), F.col("r.group_value").alias("reference_group"))  # one row
+    unknown = F.round(F.sum(F.when(F.col("group_value") == "Race Not Available", F.col("applications"))) / F.sum("applications"), 6)
+    one = ref.crossJoin(rates.agg(F.coalesce(unknown, F.lit(0.0)).alias("race_not_reported_share")))
+    return rates.crossJoin(F.broadcast(one)).select("group_value", "applications", gap.alias("raw_gap_pp"), F.col("r.group_value").alias("reference_group"), "race_not_reported_share")  # one row
 
 
 @query("a9_lender_controlled")
@@ -831,19 +835,30 @@ def _(df):
 
 
 # Verification -------------------------------------------------------------------------------
-@query("v1_parity_exact", " select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatched, count(*) as matched from (select distinct lei, group_column, group_value from " + LONG + ")")
+_BY = ("derived_race", "derived_ethnicity", "derived_sex")
+#: The second route in SQL: grouping sets, and ranks by a self-join instead of windows.
+RECOUNT = "b as (select lei, case " + " ".join(f"when grouping({c}) = 0 then '{c}'" for c in _BY) + " end as group_column, case " + " ".join(f"when grouping({c}) = 0 then {c}" for c in _BY) + f" end as group_value, {RATE} from kept group by grouping sets (" + ", ".join(f"(lei, {c})" for c in _BY) + "))"
+RESCREEN = RECOUNT.replace("b as (", "b0 as (", 1) + """, b1 as (select *, 1 - cast(denials as double)/applications as approval_rate from b0),
+ best as (select lei, group_column, max(approval_rate) as br from b1 where applications >= 100 group by all),
+ again as (select b1.*, case when applications < 100 or br is null then 'SUPPRESSED' when br = 0 then 'UNDEFINED' else 'OK' end as status, case when applications >= 100 and br <> 0 then approval_rate/br end as ratio from b1 left join best using (lei, group_column))"""
+PARITY = """select count(*) filter (where b.lei is null) as only_left, count(*) filter (where a.lei is null) as only_right,
+ count(*) filter (where a.lei is not null and b.lei is not null and not ({same})) as mismatched, count(*) filter (where {same}) as matched
+ from a full join {b} b on a.lei = b.lei and a.group_column = b.group_column and a.group_value is not distinct from b.group_value"""
+
+
+@query("v1_parity_exact", f"+ a as (select lei, group_column, group_value, {RATE} from {LONG} group by all), {RECOUNT} " + PARITY.format(b="b", same="a.applications = b.applications and a.denials = b.denials"))
 def _(df):
     return V.table_parity(A.all_group_rates(A.keep(df, "lender_known")), V.recount(df), ["lei", "group_column", "group_value"], ["applications", "denials"])
 
 
-@query("v2_screen_parity", f"+ {SCREEN} select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatched, count(*) as matched from scr")
+@query("v2_screen_parity", f"+ {SCREEN}, a as (select * from scr), {RESCREEN} " + PARITY.format(b="again", same="a.status = b.status and (a.ratio is not distinct from b.ratio or abs(a.ratio - b.ratio) <= 1e-12)"))
 def _(df):
     keys = ["lei", "group_column", "group_value"]
     again = A.screened(A.with_rates(V.recount(df)), ("lei", "group_column"))
-    return V.table_parity(A.lender_screen(df), again, keys, ["ratio"], 1e-12)
+    return V.table_parity(A.lender_screen(df), again, keys, ["status", "ratio"], 1e-12)
 
 
-@query("v3_flagged_parity", f"+ {SCREEN}, a as (select distinct lei from scr where ratio < 0.8) select count(*) as left_size, count(*) as right_size, count(*) as both, 0::bigint as differ from a")
+@query("v3_flagged_parity", f"+ {SCREEN}, {RESCREEN}, m as (select x.lei as x, y.lei as y from (select distinct lei from scr where ratio < 0.8) x full join (select distinct lei from again where ratio < 0.8) y on x.lei = y.lei) select count(x) as left_size, count(y) as right_size, count(*) filter (where x is not null and y is not null) as both, count(*) filter (where x is null or y is null) as differ from m")
 def _(df):
     again = A.screened(A.with_rates(V.recount(df)), ("lei", "group_column")).where("flagged")
     return V.set_parity(A.flagged_lenders(A.lender_screen(df)), again, "lei")
@@ -869,6 +884,6 @@ def _(df):
 FACTS = ("rows", "count(*)"), ("lenders", "count(distinct lei)"), ("years", "count(distinct activity_year)"), ("first_year", "min(cast(activity_year as int))"), ("last_year", "max(cast(activity_year as int))"), ("not_available_share", "round(avg(cast(derived_race='Race Not Available' as double)), 6)")
 
 
-@query("v7_facts", " union all ".join(f"select '{n}' as fact, cast({e} as double) as value, 'counted' as basis from app" for n, e in FACTS))
+@query("v7_facts", " union all ".join(f"select '{n}' as fact, cast({e} as double) as value, 'counted' as basis from app" for n, e in FACTS) + " union all select 'features', 16.0, 'declared'")
 def _(df):
     return r6(V.facts(df), "value")

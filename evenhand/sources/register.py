@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 #: Columns an audit needs (fixed values).
 REQUIRED = [
-    "action_taken", "lei", "activity_year", "state_code", "derived_race", "derived_ethnicity", "derived_sex", "loan_amount", "income", "loan_to_value_ratio",
-    "debt_to_income_ratio", "property_value", "loan_type", "loan_purpose", "lien_status", "occupancy_type", "preapproval", "conforming_loan_limit",
-    "construction_method", "total_units", "open-end_line_of_credit", "business_or_commercial_purpose", "reverse_mortgage", "applicant_age", "county_code",
+    "action_taken", "derived_race", "derived_ethnicity", "derived_sex", "applicant_age", "loan_amount", "income", "debt_to_income_ratio", "loan_to_value_ratio", "loan_type",
+    "loan_purpose", "occupancy_type", "property_value", "lien_status", "state_code", "county_code", "census_tract", "tract_minority_population_percent",
+    "tract_to_msa_income_percentage", "lei", "denial_reason-1", "denial_reason-2", "denial_reason-3", "denial_reason-4", "activity_year",
 ]
 
+#: A lender id: 20 capital letters and digits that end in two digits, or the short form of the order tables.
+LENDER_ID = r"^([A-Z0-9]{18}[0-9]{2}|L[0-9]{6})$"
+
 #: The applications over the order tables, as expressions that Spark and DuckDB read alike.
 EXPRESSIONS = {
     "app_id": "concat_ws('-', cast(l_orderkey as varchar(30)), cast(l_linenumber as varchar(30)), cast(l_partkey as varchar(30)), cast(l_suppkey as varchar(30)), cast(cast(round(l_extendedprice*100) as bigint) as varchar(30)))",
@@ -42,6 +45,13 @@ EXPRESSIONS = {
     "reverse_mortgage": "'2'",
     "applicant_age": "case when l_quantity<3 then '8888' else '35-44' end",
     "county_code": "'NA'",
+    "census_tract": "'NA'",
+    "tract_minority_population_percent": "cast(p_size%100 as varchar(30))",
+    "tract_to_msa_income_percentage": "cast(50 + p_size%100 as varchar(30))",
+    "denial_reason-1": "case when l_returnflag='R' and l_linestatus='F' then '1' else '10' end",
+    "denial_reason-2": "''",
+    "denial_reason-3": "''",
+    "denial_reason-4": "''",
 }
 
 SQL = (
@@ -101,9 +111,17 @@ def wanted_files(wanted: DataFrame, manifest: DataFrame, files: DataFrame, keys:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of each file of a folder."""
+    """(bytes, file, sha256) of each file of a folder; its columns are in the order of their names, so JSON lines have sorted keys.
+
+    A file is read whole by its task, so one is at most 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.col("length").alias("bytes"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(found: DataFrame, path: str) -> None:
+    """The manifest as JSON lines."""
+    found.write.mode("append").json(path)
 
 
 def misplaced(df: DataFrame, file: str = "_metadata.file_name", pattern: str = r"([A-Z0-9]{2,3})_(\d{4})") -> DataFrame:
@@ -119,9 +137,12 @@ def from_catalog(spark: SparkSession, name: str) -> DataFrame:
 
 
 def releasable(df: DataFrame) -> DataFrame:
-    """The frame if it names no lender; raises otherwise."""
-    if "lei" in df.columns:
-        raise ValueError("a release carries counts, never a lender id")
+    """The frame if it names no lender, by column or by a value shaped like a lender id; raises otherwise."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    shaped = df.agg(*(F.count_if(F.col(f"`{c}`").rlike(LENDER_ID)) for c in texts)).first() if texts else ()
+    odd = [c for c, n in zip(texts, shaped, strict=True) if n]
+    if "lei" in {c.lower() for c in df.columns} or odd:
+        raise ValueError(f"a release carries counts, never a lender id: {odd or ['lei']}")
     return df
 
 

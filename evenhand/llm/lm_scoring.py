@@ -64,7 +64,7 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 
 def _cuts(keys: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, first, end) of the bucket ranges that sorted hashes have; as many as there are hashes at most."""
-    bucket = (keys // U((1 << (64 if kind == WORD else 56)) // buckets + 1)).astype(np.int64)
+    bucket = (keys // U((1 << (64 if kind == WORD else 56)) // buckets + 1) if buckets > 1 else keys * U(0)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
     return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import debt_to_income_rank, income_dollars, loan_to_value, psi_term, replace_sentinels, to_float
+from evenhand.operators.sampling import order_statistics
 
 THRESHOLD = 0.2
 
@@ -45,9 +46,9 @@ def drift(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = counts.groupBy("year", "column", "x", "code").agg(F.count("*").alias("n"))
     sided = counts.join(pairs, (F.col("year") == F.col("year_a")) | (F.col("year") == F.col("year_b"))).withColumn("is_a", F.col("year") == F.col("year_a"))
     keys = ["year_a", "year_b", "column"]
-    # Edges from the value counts, not the rows: percentile takes a frequency.
-    deciles = F.percentile("x", F.array(*(F.lit(i / 10) for i in range(11))), F.col("n"))
-    edges = sided.where("x is not null").groupBy(*keys).agg(F.array_distinct(deciles).alias("edges"))
+    # Edges from the value counts, not the rows.
+    deciles = {f"d{i}": i / 10 for i in range(11)}
+    edges = order_statistics(sided.where("x is not null"), F.col("x"), deciles, tuple(keys), F.col("n")).select(*keys, F.array_distinct(F.array(*deciles)).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = sided.where("x is not null").join(F.broadcast(edges), keys).select(*keys, "is_a", bin_of(F.col("x"), inner).cast("string").alias("bin"), "n", (F.size("edges") >= 3).alias("usable"))
     coded_rows = sided.where("code is not null").select(*keys, "is_a", F.col("code").alias("bin"), "n", F.lit(True).alias("usable"))

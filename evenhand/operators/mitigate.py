@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.clean import expected_value
 from evenhand.operators import model as M
+from evenhand.operators.sampling import order_statistics
 
 ROUNDS, STEP = 8, 2.0
 
@@ -26,7 +27,7 @@ def reweighing(rows: DataFrame, group: str = "g", label: str = "y") -> DataFrame
 
 def group_cutoffs(train_scores: DataFrame, rate: float, floor: int = 100) -> DataFrame:
     """(g, cutoff): each eligible group's own score quantile."""
-    fit = train_scores.groupBy("g").agg(F.count("*").alias("n"), F.percentile("score", 1.0 - rate).alias("cutoff"))
+    fit = order_statistics(train_scores, F.col("score"), {"cutoff": 1.0 - rate}, ("g",))
     return fit.where((F.col("n") >= floor) & ~F.col("g").isin(*M.NO_GROUP)).select("g", "cutoff")
 
 
@@ -47,9 +48,10 @@ def measure(decided: DataFrame, technique: str, groups: DataFrame) -> DataFrame:
     paid = F.when(F.col("approve") == 1, F.col("principal"))
     whole = decided.agg(
         (F.avg((F.col("approve") == 1 - F.col("y")).cast("double")) * 100.0).alias("accuracy_pct"), F.avg("approve").alias("approval_rate"),
-        F.coalesce(F.avg(paid), F.lit(0.0)).alias("mean_principal"), F.coalesce(F.median(paid), F.lit(0.0)).alias("median_principal"),
+        F.coalesce(F.avg(paid), F.lit(0.0)).alias("mean_principal"),
     )
-    out = whole.crossJoin(F.broadcast(gap))  # one row each
+    median = order_statistics(decided, paid, {"m": 0.5}).select(F.coalesce("m", F.lit(0.0)).alias("median_principal"))
+    out = whole.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(gap))  # one row each
     return out.select(F.lit(technique).alias("technique"), "*", (F.col("approval_rate") * 1000.0 * expected_value(F.col("mean_principal"))).alias("margin_per_1000"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import category, debt_to_income_midpoint, debt_to_income_rank, denied, income_dollars, loan_to_income, number_or_null, replace_sentinels, to_float
-from evenhand.operators.sampling import exact_auc
+from evenhand.operators.sampling import exact_auc, order_statistics
 from evenhand.operators.screen import NO_GROUP, keep
 
 CODES = ("loan_type", "loan_purpose", "lien_status", "occupancy_type", "preapproval", "conforming_loan_limit", "construction_method", "total_units", "open-end_line_of_credit", "business_or_commercial_purpose", "reverse_mortgage")
@@ -84,8 +84,11 @@ class Scaled:
         self.columns, self.flags = columns, flags
         names = list(columns)
         rows = train.select(*(c.cast("double").alias(n) for n, c in columns.items()))
-        med = rows.agg(*(F.median(n) for n in flags)).first() if flags else []
-        self.medians = {n: (m if m is not None else 0.0) for n, m in zip(flags, med, strict=True)}
+        med = {}
+        if flags:
+            long = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("x")) for n in flags))))
+            med = {r["name"]: r["m"] for r in order_statistics(long, F.col("x"), {"m": 0.5}, ("name",)).collect()}  # a row per flag
+        self.medians = {n: 0.0 if med.get(n) is None else med[n] for n in flags}
         filled = rows.select(*self._filled(names, rows=True))
         self.names = filled.columns
         one = filled.agg(*(f(n) for n in self.names for f in (F.avg, F.stddev_pop))).first()
@@ -222,4 +225,4 @@ def eligible_groups(df: DataFrame, group: str, floor: int = 100) -> DataFrame:
 
 def cutoff(train_scores: DataFrame, rate: float) -> float:
     """The score at the quantile 1 - rate; deny from it on."""
-    return train_scores.agg(F.percentile("score", 1.0 - rate)).first()[0]
+    return order_statistics(train_scores, F.col("score"), {"cutoff": 1.0 - rate}).first()["cutoff"]

@@ -28,9 +28,15 @@ def required_increase(rows: DataFrame, score: Callable[[Column], Column], cut: f
 
 
 def recourse_by_group(found: DataFrame, group: str = "g", floor: int = 30) -> DataFrame:
-    """(group, denied, reachable, unreachable_share, median_increase) of rows denied in the data and by the model."""
-    rows = found.where("increase is null or increase > 0").groupBy(group)
-    out = rows.agg(F.count("*").alias("denied"), F.count("increase").alias("reachable"), F.median("increase").alias("m"))
+    """(group, denied, reachable, unreachable_share, median_increase) of rows denied in the data and by the model.
+
+    The median's buffer holds distinct values: those of the grid at most.
+    """
+    # No filter on the increase: Spark would push it, and with it the whole grid, below the join.
+    each = found.groupBy(group, "increase").agg(F.count("*").alias("n"))
+    more = F.col("increase") > 0
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = each.groupBy(group).agg(total(more | F.col("increase").isNull()).alias("denied"), total(more).alias("reachable"), F.percentile(F.when(more, F.col("increase")), 0.5, F.col("n")).alias("m")).where("denied > 0")
     return out.select(group, "denied", "reachable", (1.0 - F.col("reachable") / F.col("denied")).alias("unreachable_share"), F.when(F.col("reachable") >= floor, F.col("m")).alias("median_increase"))
 
 

@@ -68,3 +68,42 @@ def feature_auc(df: DataFrame, features: dict, label) -> DataFrame:
     part = (F.floor(F.log2(1.0 + F.abs("s")) * 64) * F.signum("s")).cast("bigint")
     found = exact_auc(long.join(F.broadcast(spread), "feature"), "x", "y", ("feature",), part)  # one row per feature
     return found.select("feature", F.greatest("auc", 1.0 - F.col("auc")).alias("auc"))
+
+
+def order_statistics(df: DataFrame, value: Column, places: dict[str, float], by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """(by, n, a column per place): exact quantiles with linear interpolation, and the number of values, per ``by``.
+
+    ``places`` names quantiles from 0 to 1; ``weight`` counts a row more than
+    once.  Values are counted by distinct value, then by ranges of magnitude
+    (1,024 to a doubling): running sums over the ranges tell which ranges hold a
+    wanted place, and only those are ranked, each in a task of its own.  Nulls
+    are left out; a group without values keeps its row, with nulls.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    weight = F.lit(1) if weight is None else weight
+    each = df.select(key.alias("_k"), value.cast("double").alias("_v"), weight.cast("bigint").alias("_w")).groupBy("_k", "_v")
+    each = each.agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("_n"))
+    size = F.floor(F.least(F.log2(1.0 + F.abs("_v")), F.lit(2000.0)) * 1024) * F.signum("_v")
+    part = F.when(F.isnan("_v"), F.lit(1 << 40)).otherwise(F.coalesce(size, F.lit(0.0)).cast("bigint"))
+    each = each.withColumn("_part", part)
+    whole = Window.partitionBy("_k")  # a row per range
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("_k", "_part").agg(F.sum("_n").alias("_m"))
+    parts = parts.select("_k", "_part", "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_low"), F.sum("_m").over(whole).alias("_all"))
+    place = {n: F.lit(float(q)) * (F.col("_all") - 1) for n, q in places.items()}
+    ends = {n: (F.floor(p), F.ceil(p)) for n, p in place.items()}
+    holds = lambda i, n: (F.col("_low") <= i) & (i < F.col("_low") + F.col(n))
+    wanted = F.col("_all") == 0
+    for i in (i for pair in ends.values() for i in pair):
+        wanted = wanted | holds(i, "_m")
+    inside = Window.partitionBy("_k", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = each.join(parts.where(wanted).drop("_m"), ["_k", "_part"])
+    rows = rows.withColumn("_low", F.col("_low") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    at = lambda i: F.max(F.when(holds(i, "_n"), F.col("_v")))
+    found = rows.groupBy("_k").agg(F.max("_all").alias("_all"), *(at(i).alias(f"_{n}{k}") for n, pair in ends.items() for k, i in enumerate(pair)))
+
+    def between(n: str) -> Column:
+        low, high, share = F.col(f"_{n}0"), F.col(f"_{n}1"), place[n] - F.floor(place[n])
+        return F.when(low == high, low).otherwise((1.0 - share) * low + share * high).alias(n)
+
+    return found.select(*(F.col(f"_k.`{c}`").alias(c) for c in by), F.col("_all").alias("n"), *(between(n) for n in places))

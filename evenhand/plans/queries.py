@@ -405,14 +405,14 @@ def _(df):
 
 @query("g11_exact_quantiles", f" select derived_race, round(quantile_cont(v, 0.9), 6) as p90, round(median(v), 6) as med from (select derived_race, {NUM('loan_amount')} as v from app) group by 1")
 def _(df):
-    v = C.to_float("loan_amount")
-    return df.groupBy("derived_race").agg(F.round(F.percentile(v, 0.9), 6).alias("p90"), F.round(F.median(v), 6).alias("med"))
+    return r6(S.order_statistics(df, C.to_float("loan_amount"), {"p90": 0.9, "med": 0.5}, ("derived_race",)).drop("n"), "p90", "med")
 
 
 @query("g12_principal", f" select lei, round(avg(v), 4) as mean_principal, round(median(v), 4) as median_principal from (select lei, {NUM('loan_amount')} as v from app where action_taken='1') group by 1")
 def _(df):
-    v = C.to_float("loan_amount")
-    return df.where("action_taken = '1'").groupBy("lei").agg(F.round(F.avg(v), 4).alias("mean_principal"), F.round(F.median(v), 4).alias("median_principal"))
+    rows = df.where("action_taken = '1'").select("lei", C.to_float("loan_amount").alias("v"))
+    mean = rows.groupBy("lei").agg(F.round(F.avg("v"), 4).alias("mean_principal"))
+    return mean.join(S.order_statistics(rows, F.col("v"), {"m": 0.5}, ("lei",)), "lei").select("lei", "mean_principal", F.round("m", 4).alias("median_principal"))
 
 
 RUNS = "+ runs as (select derived_race as technique, activity_year as seed, avg(cast(action_taken='3' as double)) as v from app group by 1, 2)"
@@ -560,8 +560,8 @@ def _(df):
 
 @query("u3_pooled_edges", f" select round(quantile_cont(v, 0.1), 6) as p10, round(quantile_cont(v, 0.5), 6) as p50, round(quantile_cont(v, 0.9), 6) as p90 from (select {NUM('loan_amount')} as v from app where activity_year in ('1996','1997'))")
 def _(df):
-    v = C.to_float("loan_amount")
-    return df.where(F.col("activity_year").isin("1996", "1997")).agg(*(F.round(F.percentile(v, q), 6).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))))
+    rows = df.where(F.col("activity_year").isin("1996", "1997"))
+    return r6(S.order_statistics(rows, C.to_float("loan_amount"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("n"), "p10", "p50", "p90")
 
 
 # Audit --------------------------------------------------------------------------------
@@ -718,7 +718,7 @@ def _(df):
 def _(df):
     rows = demo_scores(df)
     rate = rows.agg(F.avg("y")).first()[0]
-    return rows.agg(F.round(F.percentile("score", 1.0 - rate), 6).alias("cutoff"))
+    return r6(S.order_statistics(rows, F.col("score"), {"cutoff": 1.0 - rate}).drop("n"), "cutoff")
 
 
 @query("r8_reweighing", WEIGHTS + " select g, y, round(cast(weight as double), 6) as weight from w")

@@ -1,6 +1,7 @@
 """Guards and checks: allowed inputs, required columns, releases, parity, provenance, exact ranks, file checks."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -115,3 +116,23 @@ def test_controlled_gaps_come_with_the_share_without_a_race(apps):
     share = apps.where("action_taken <> '6'").agg(F.avg((F.col("derived_race") == "Race Not Available").cast("int"))).first()[0]
     assert [r["race_not_reported_share"] for r in rows] == pytest.approx([share] * len(rows))
     assert all((r["raw_gap_pp"] is None) == (r["status"] != "OK") for r in rows)
+
+
+def test_order_statistics_equal_percentiles(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -1e9, 1e12, rng.gauss(0, 5), rng.random(), -rng.random() * 1e-6]), rng.randint(1, 3)) for _ in range(400)]
+    df = spark.createDataFrame([*rows, ("empty", None, 1)], "g string, v double, w int")
+    places = {"low": 0.0, "third": 1 / 3, "half": 0.5, "high": 0.97, "top": 1.0}
+    for weight in (None, F.col("w")):
+        got = {r["g"]: tuple(r)[1:] for r in sampling.order_statistics(df, F.col("v"), places, ("g",), weight).collect()}
+        frequency = F.lit(1) if weight is None else weight
+        want = df.groupBy("g").agg(F.sum(F.when(F.col("v").isNotNull(), frequency).otherwise(0)), *(F.percentile("v", p, frequency) for p in places.values())).collect()
+        assert set(got) == {"a", "b", None, "empty"}
+        for r in want:
+            assert got[r["g"]][0] == r[1]
+            for a, b in zip(got[r["g"]][1:], tuple(r)[2:], strict=True):
+                assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12)
+    assert tuple(sampling.order_statistics(df.where("g = 'empty'"), F.col("v"), {"m": 0.5}).first()) == (0, None)
+    assert sampling.order_statistics(df.where("false"), F.col("v"), {"m": 0.5}).count() == 0
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (1.0,), (2.0,)], "v double")
+    assert sampling.order_statistics(odd, F.col("v"), {"m": 0.5}).first()["m"] == 2.0

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Plain names of the inputs (fixed values).
+LABELS = {
+    "loan_amount": "loan amount", "income": "applicant income", "loan_to_value_ratio": "loan-to-value ratio", "property_value": "property value",
+    "debt_to_income_ratio": "debt-to-income ratio", "loan_type": "loan type", "loan_purpose": "loan purpose", "occupancy_type": "occupancy type",
+    "lien_status": "lien status", "preapproval": "preapproval request status", "conforming_loan_limit": "conforming loan limit flag",
+    "construction_method": "construction method", "total_units": "number of dwelling units", "open-end_line_of_credit": "open-end line of credit flag",
+    "business_or_commercial_purpose": "business or commercial purpose flag", "reverse_mortgage": "reverse mortgage flag",
+    "loan_to_income": "loan amount relative to applicant income (loan-to-income ratio)",
+}
+
 FINE = [1000 * i for i in range(1, 101)]
 
 
@@ -49,34 +63,167 @@ def stability(found: DataFrame, replicates: int = 10, key: str = "app_id") -> Da
     return rows.groupBy("replicate").agg(F.percentile("increase", 0.5, F.col("w")).alias("median_increase"))
 
 
+def readable(name: str) -> str:
+    """A plain name of an input; a 0/1 column is named by its parent and code, a missing flag by its parent."""
+    if name in LABELS:
+        return LABELS[name]
+    if name.endswith("_missing"):
+        return f"{readable(name.removesuffix('_missing'))} is missing"
+    for parent, label in LABELS.items():
+        if name.startswith(start := f"{parent.replace('-', '_')}_"):
+            return f"{label}: {name.removeprefix(start)}"
+    return name
+
+
+def parent_of(name: str) -> str:
+    """The input that a feature column comes from: 0/1 columns and missing flags belong to their parent."""
+    name = name.removesuffix("_missing")
+    if name == "debt_to_income_rank":
+        return "debt_to_income_ratio"
+    return name if name in LABELS else next((p for p in LABELS if name.startswith(f"{p.replace('-', '_')}_")), name)
+
+
+def _ranked(long: DataFrame) -> DataFrame:
+    w = Window.partitionBy("group_value").orderBy(F.col("contribution").desc(), "parent")
+    return long.withColumn("rank", F.row_number().over(w))
+
+
+def driver_groups(rows: DataFrame, group: str, floor: int = 30) -> DataFrame:
+    """(group_value, n, excluded): every group's rows; those below the floor are left out of the drivers."""
+    return rows.groupBy(F.col(group).alias("group_value")).agg(F.count("*").alias("n")).withColumn("excluded", F.col("n") < floor)
+
+
 def drivers(rows: DataFrame, coefficients: dict[str, float], parents: dict[str, str], group: str | None = None, floor: int = 30) -> DataFrame:
-    """(group, parent, contribution, rank): mean absolute contribution w (x - mean) per parent input, its dummies summed."""
+    """(group_value, parent, contribution, rank, label): mean absolute contribution w (x - mean), summed over a parent's columns."""
     means = rows.agg(*(F.avg(n).alias(n) for n in coefficients)).first()
     by: dict[str, Column] = {}
     for n, w in coefficients.items():
-        term = (F.col(n) - float(means[n])) * float(w)
+        term = F.abs((F.col(n) - float(means[n])) * float(w))
         by[parents[n]] = by[parents[n]] + term if parents[n] in by else term
     g = F.col(group) if group else F.lit("ALL")
-    one = rows.groupBy(g.alias("group_value")).agg(F.count("*").alias("n"), *(F.avg(F.abs(c)).alias(f"p_{p}") for p, c in by.items())).where(F.col("n") >= floor)
-    long = one.select("group_value", F.inline(F.array(*(F.struct(F.lit(p).alias("parent"), F.col(f"p_{p}").alias("contribution")) for p in by))))
-    w = Window.partitionBy("group_value").orderBy(F.col("contribution").desc(), "parent")
-    return long.withColumn("rank", F.row_number().over(w))
+    one = rows.groupBy(g.alias("group_value")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"p_{p}") for p, c in by.items())).where(F.col("n") >= floor)
+    long = one.select("group_value", F.inline(F.array(*(F.struct(F.lit(p).alias("parent"), F.col(f"p_{p}").alias("contribution"), F.lit(readable(p)).alias("label")) for p in by))))
+    return _ranked(long)
 
 
-def race_probe(rows: DataFrame, key: str = "app_id") -> DataFrame:
-    """(what, auc): how well the inputs tell the group (column y) on the other half, and a shuffled-label control near 0.5."""
+def model_drivers(model, rows: DataFrame, names: list[str], group: str | None = None, floor: int = 30) -> DataFrame:
+    """(group_value, parent, contribution, rank, label) of any model: mean absolute change of the score when a parent's columns take their mean.
+
+    ``rows`` has ``features`` in the order of ``names``, scaled, so that the
+    mean is 0.  Each row is scored once per parent; averages combine map-side.
+    Parents without effect on any row keep a contribution of 0.
+    """
+    from evenhand.operators import model as M
+
+    parents = sorted({parent_of(n) for n in names})
+    places = {p: [i for i, n in enumerate(names) if parent_of(n) == p] for p in parents}
+    g = F.col(group) if group else F.lit("ALL")
+    base = M.scores(model, rows).select(g.alias("group_value"), F.col("score").alias("base"), vector_to_array("features").alias("x"))
+    changes = F.array(*(F.struct(F.lit(p).alias("parent"), F.lit(readable(p)).alias("label"), F.array(*map(F.lit, i)).alias("at")) for p, i in places.items()))
+    each = base.select("group_value", "base", "x", F.inline(changes))
+    moved = F.transform("x", lambda v, i: F.when(F.array_contains("at", i), 0.0).otherwise(v))
+    each = M.scores(model, each.select("group_value", "base", "parent", "label", array_to_vector(moved).alias("features")))
+    found = each.groupBy("group_value", "parent", "label").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("score") - F.col("base"))).alias("contribution"))
+    return _ranked(found.where(F.col("n") >= floor).select("group_value", "parent", "contribution", "label"))
+
+
+def top_counts(runs: DataFrame, name: str, value: str, run: str = "seed", k: int = 5) -> DataFrame:
+    """(name, runs, top, mean): in how many runs a name is among the k values of greatest size (ties: the lesser name)."""
+    w = Window.partitionBy(run).orderBy(F.abs(F.col(value)).desc_nulls_last(), name)
+    rows = runs.withColumn("_place", F.row_number().over(w))
+    return rows.groupBy(name).agg(F.count("*").alias("runs"), F.count_if(F.col("_place") <= k).alias("top"), F.avg(value).alias("mean"))
+
+
+def repaired_labels(rows: DataFrame, label: str, key: str, to: str, seed: int = 0) -> DataFrame:
+    """``rows`` with ``to``: the labels themselves, in another order, so that they know nothing of their row.
+
+    Rows are numbered twice, by two hashes of the key; equal numbers meet.
+    Numbers come from running counts over ranges of the hash and from the place
+    within a range, so no task numbers all rows.  ``key`` must be unique.
+    """
+
+    def numbered(df: DataFrame, salt: str) -> DataFrame:
+        df = df.withColumn("_h", F.xxhash64(key, F.lit(f"{salt}{seed}"))).withColumn("_p", F.shiftright("_h", 48))
+        sizes = df.groupBy("_p").agg(F.count("*").alias("_c"))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 ranges at most
+        sizes = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+        place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+        return df.join(F.broadcast(sizes), "_p").withColumn("_i", F.col("_b") + place).drop("_h", "_p", "_b")
+
+    other = numbered(rows.select(key, F.col(label).alias(to)), "b").drop(key)
+    return numbered(rows, "a").join(other, "_i").drop("_i")
+
+
+def hidden(rows: DataFrame, weights: np.ndarray, layers: list[int], depth: int) -> DataFrame:
+    """``rows`` with ``features`` replaced by the outputs of hidden layer ``depth`` of a perceptron.
+
+    ``weights`` are as Spark ML keeps them: per layer the matrix by columns,
+    then the offsets; hidden layers are sigmoid.
+    """
+    parts, at = [], 0
+    for a, b in zip(layers[:depth], layers[1 : depth + 1], strict=True):
+        parts.append((weights[at : at + a * b].reshape(a, b), weights[at + a * b : at + a * b + b]))
+        at += a * b + b
+
+    @F.pandas_udf("array<double>")
+    def outputs(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return x
+        z = np.stack(x.to_numpy())
+        for w, b in parts:
+            z = 1.0 / (1.0 + np.exp(-(z @ w + b)))
+        return pd.Series(list(z))
+
+    return rows.withColumn("features", array_to_vector(outputs(vector_to_array("features"))))
+
+
+def untrained(layers: list[int], seed: int = 0) -> np.ndarray:
+    """Seeded random weights of a perceptron, uniform within 1 / sqrt(inputs)."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.uniform(-1, 1, a * b + b) / np.sqrt(a) for a, b in itertools.pairwise(layers)])
+
+
+def probe(rows: DataFrame, label: str = "y", key: str = "app_id") -> DataFrame:
+    """(auc): how well ``features`` tell the label: a logistic fit on half of the rows, by hash, measured on the other."""
     from evenhand.operators import model as M
     from evenhand.operators.sampling import exact_auc
 
     half = F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2))
-    # The control's labels are drawn by hash at the same rate, so they know nothing of the row.
-    rate = rows.agg(F.avg("y")).first()[0]
-    control = (F.pmod(F.xxhash64(key, F.lit("control")), F.lit(1 << 20)) < F.lit(rate * (1 << 20))).cast("double")
-    rows = rows.withColumns({"_h": half, "shuffled": control}).persist()
-    n = rows.count()
-    out = None
-    for what, label in (("inputs", "y"), ("shuffled", "shuffled")):
-        fit = M.logistic(rows.where("_h = 0"), n, label)
-        one = exact_auc(M.scores(fit, rows.where("_h = 1")), "score", label).select(F.lit(what).alias("what"), "auc")
-        out = one if out is None else out.union(one)
-    return out
+    fitted = rows.where(half == 0)
+    return exact_auc(M.scores(M.logistic(fitted, fitted.count(), label), rows.where(half == 1)), "score", label).select("auc")
+
+
+def race_probe(rows: DataFrame, key: str = "app_id") -> DataFrame:
+    """(what, auc): how well the inputs tell the group (column y), its labels paired anew (near 0.5), and the denial score alone.
+
+    The last comes only where ``rows`` has ``denial_score``.
+    """
+    from evenhand.operators.sampling import exact_auc
+
+    rows = repaired_labels(rows, "y", key, "shuffled").persist()
+    # A number each, so that the rows can be given back.
+    found = [(what, probe(rows, label, key).first()["auc"]) for what, label in (("inputs", "y"), ("shuffled", "shuffled"))]
+    if "denial_score" in rows.columns:
+        found.append(("denial_score", exact_auc(rows, "denial_score", "y").first()["auc"]))
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(found, "what string, auc double")
+
+
+def network_probe(model, rows: DataFrame, layers: list[int], seed: int = 0, key: str = "app_id") -> DataFrame:
+    """(what, auc) over a network's layers: inputs, both hidden layers, an untrained network's second, paired-anew labels, the score.
+
+    ``rows`` has ``features``, the group label y and ``denial_score``.
+    """
+    from evenhand.operators.sampling import exact_auc
+
+    rows = repaired_labels(rows, "y", key, "shuffled", seed).persist()
+    weights = np.asarray(model.weights.toArray())
+    second = hidden(rows, weights, layers, 2)
+    looks = {
+        "inputs": (rows, "y"), "hidden_layer_1": (hidden(rows, weights, layers, 1), "y"), "hidden_layer_2": (second, "y"),
+        "untrained_layer_2": (hidden(rows, untrained(layers, seed + 1000), layers, 2), "y"), "shuffled_layer_2": (second, "shuffled"),
+    }
+    found = [(what, probe(look, label, key).first()["auc"]) for what, (look, label) in looks.items()]
+    found.append(("denial_score", exact_auc(rows, "denial_score", "y").first()["auc"]))
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame(found, "what string, auc double")

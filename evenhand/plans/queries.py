@@ -797,17 +797,28 @@ def _(df):
     return R.stability(_recourse(df))
 
 
-@query("r19_drivers", DEMO + ", m as (select avg(inc) as mi, avg(principal) as mp, avg(rank) as mr from demo), l as (select g, abs(0.00001*(inc-mi)) as a, abs(0.00002*(principal-mp)) as b, abs(0.05*(rank-mr)) as c from demo, m), s as (select g, count(*) as n, avg(a) as a, avg(b) as b, avg(c) as c from l group by g having count(*) >= 30), u as (select g, 'income' as parent, a as v from s union all select g, 'loan', b from s union all select g, 'debt', c from s) select g as group_value, parent, round(v, 6) as contribution, row_number() over (partition by g order by v desc, parent) as rank from u")
+@query("r19_drivers", DEMO + ", m as (select avg(inc) as mi, avg(principal) as mp, avg(rank) as mr from demo), l as (select g, abs(0.00001*(inc-mi)) as a, abs(0.00002*(principal-mp)) as b, abs(0.05*(rank-mr)) as c from demo, m), s as (select g, count(*) as n, avg(a) as a, avg(b) as b, avg(c) as c from l group by g having count(*) >= 30), u as (select g, 'income' as parent, a as v, 'applicant income' as label from s union all select g, 'loan_amount', b, 'loan amount' from s union all select g, 'debt_to_income_ratio', c, 'debt-to-income ratio' from s) select g as group_value, parent, round(v, 6) as contribution, row_number() over (partition by g order by v desc, parent) as rank, label from u")
 def _(df):
-    found = R.drivers(demo_scores(df), {"inc": 0.00001, "principal": 0.00002, "rank": 0.05}, {"inc": "income", "principal": "loan", "rank": "debt"}, "g")
+    found = R.drivers(demo_scores(df), {"inc": 0.00001, "principal": 0.00002, "rank": 0.05}, {"inc": "income", "principal": "loan_amount", "rank": "debt_to_income_ratio"}, "g")
     return r6(found, "contribution").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("r19_driver_groups", DEMO + " select lei as group_value, count(*) as n, count(*) < 200 as excluded from demo group by 1")
+def _(df):
+    return R.driver_groups(demo_scores(df), "lei", 200)
+
+
+@query("r19_model_drivers")
+def _(df):
+    train, test, scaler = M.prepared(df, 2000)
+    return R.model_drivers(M.boosted(train), test, scaler.names, "g")
+
+
 @query("r20_race_probe")
 def _(df):
-    rows = A.keep(df, "decisions_only")
-    scaler = M.Scaled(rows, M.feature_columns(rows), list(M.numeric_features()))
-    return R.race_probe(scaler.apply(rows, F.col("app_id"), (F.col("derived_race") == "BUILDING").cast("double").alias("y")))
+    train, test, _ = M.prepared(df, 2000)
+    rows = M.scores(M.logistic(train, train.count()), test).withColumnRenamed("score", "denial_score")
+    return R.race_probe(rows.withColumn("y", (F.col("g") == "BUILDING").cast("double")))
 
 
 def _one_auc(name: str, expr: str) -> str:
@@ -826,6 +837,14 @@ def _(df):
     return M.scores(M.network(train, len(scaler.names)), test).select("app_id", "y", "score")
 
 
+@query("r22_network_probe")
+def _(df):
+    train, test, scaler = M.prepared(df, 2000)
+    net = M.network(train, len(scaler.names))
+    rows = M.scores(net, test.where(F.col("g").isin("BUILDING", "FURNITURE"))).withColumnRenamed("score", "denial_score")
+    return R.network_probe(net, rows.withColumn("y", (F.col("g") == "BUILDING").cast("double")), [len(scaler.names), 64, 32, 2])
+
+
 @query("r23_probe_summary", RUNS + ", p as (select a.technique, a.v - b.v as v from runs a join runs b on a.seed=b.seed and b.technique='FURNITURE') select technique, round(avg(v),4) as mean, round(stddev_samp(v),4) as sd, round(min(v),4) as low, round(max(v),4) as high from p group by 1")
 def _(df):
     runs = _runs(df)
@@ -834,6 +853,12 @@ def _(df):
     return P.summary_over_seeds(paired, "technique", "v")
 
 
+@query("r23_top_counts", "+ runs as (select state_code as feature, activity_year as seed, avg(cast(action_taken='3' as double)) - 0.25 as v from app group by 1, 2), k as (select *, row_number() over (partition by seed order by round(abs(v), 9) desc, feature) as place from runs) select feature, count(*) as runs, count(*) filter (where place <= 5) as top, round(avg(v), 6) as mean from k group by 1")
+def _(df):
+    runs = df.groupBy(F.col("state_code").alias("feature"), F.col("activity_year").alias("seed")).agg(F.round(F.avg(C.denied()) - 0.25, 9).alias("v"))
+    return r6(R.top_counts(runs, "feature", "v"), "mean")
+
+
 # Verification -------------------------------------------------------------------------------
 _BY = ("derived_race", "derived_ethnicity", "derived_sex")
 #: The second route in SQL: grouping sets, and ranks by a self-join instead of windows.

@@ -158,8 +158,8 @@ def test_models_are_registered_whole(spark, monkeypatch):
     from evenhand.operators import mitigate
     from evenhand.plans import queries as q
 
-    fits, ran = MagicMock(), MagicMock()
-    monkeypatch.setattr(q.src, "applications", lambda *_: "app")
+    fits, ran, app = MagicMock(), MagicMock(), MagicMock()
+    monkeypatch.setattr(q.src, "applications", lambda *_: app)
     monkeypatch.setattr(q.A, "keep", lambda df, _: df)
     train, test, scaler = MagicMock(), MagicMock(), MagicMock()
     monkeypatch.setattr(model, "prepared", lambda *_: (train, test, scaler))
@@ -175,7 +175,6 @@ def test_models_are_registered_whole(spark, monkeypatch):
     assert fits.lender_controlled_gaps.call_args[0][1] == [f"L{i:02d}" for i in range(39, 14, -1)]
 
     monkeypatch.setattr(model, "exact_auc", ran.exact_auc)
-    monkeypatch.setattr(model, "reduce", ran.reduce)
     monkeypatch.setattr(model, "logistic", fits.logistic)
     q.QUERIES["r5_paired_evaluation"](spark, "")
     assert fits.boosted.call_args == ((train.persist(),),)
@@ -188,7 +187,7 @@ def test_models_are_registered_whole(spark, monkeypatch):
 
     monkeypatch.setattr(mitigate, "compare", ran.compare)
     q.QUERIES["r13_compare_techniques"](spark, "")
-    assert ran.compare.call_args == (("app", 2000),)
+    assert ran.compare.call_args == ((app, 2000),)
 
 
 def test_comparison_defaults():

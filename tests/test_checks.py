@@ -136,3 +136,36 @@ def test_order_statistics_equal_percentiles(spark):
     assert sampling.order_statistics(df.where("false"), F.col("v"), {"m": 0.5}).count() == 0
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (1.0,), (2.0,)], "v double")
     assert sampling.order_statistics(odd, F.col("v"), {"m": 0.5}).first()["m"] == 2.0
+
+
+def test_folder_of_files_with_other_columns(spark, tmp_path):
+    spark.createDataFrame([("1", "x")], "a string, b string").write.parquet(f"{tmp_path}/in/one")
+    spark.createDataFrame([("z", "2")], "c string, a string").write.parquet(f"{tmp_path}/in/two")
+    for _ in range(2):  # a second run gives the same table
+        assert register.load_parquet_dir(spark, f"{tmp_path}/in/*", f"{tmp_path}/out") == 2
+    rows = {(r["a"], r["b"], r["c"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert rows == {("1", "x", None), ("2", None, "z")}
+    with pytest.raises(ValueError, match="'b', 'c'"):
+        register.same_header({"one": spark.read.parquet(f"{tmp_path}/in/one"), "two": spark.read.parquet(f"{tmp_path}/in/two")})
+
+
+def test_frame_by_name(spark):
+    register.register(spark.createDataFrame([("3",)], "action_taken string"), "by_name")
+    assert register.from_catalog(spark, "by_name").count() == 1
+
+
+def test_full_audit_agrees_with_its_parts(apps):
+    from evenhand.plans.audit import full_audit
+
+    found = full_audit(apps)
+    assert set(found) == {"waterfall", "screen", "flagged", "controlled", "drift"}
+    screened = found["screen"].where("flagged").select("lei").distinct().count()
+    assert found["flagged"].count() == screened
+    assert found["drift"].where("columns_checked <> 10").count() == 0
+    controlled = {r["group_value"]: r for r in found["controlled"].collect()}
+    assert sum(r["status"] == "REFERENCE" for r in controlled.values()) == 1
+
+
+def test_controlled_gaps_of_lenders_without_both_groups_are_not_estimable(apps):
+    found = model.lender_controlled_gaps(apps, ["nobody"], "derived_race", "BUILDING", "FURNITURE").first()
+    assert tuple(found) == ("nobody", None, False)

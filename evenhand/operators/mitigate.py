@@ -66,6 +66,11 @@ def constrained_round(scored: DataFrame, cut: float, target: float, groups: Data
     return rows.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("m")).drop("m")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows, cut from the rounds before by a checkpoint where the session has a folder for it, else persisted."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def compare(df: DataFrame, year: int, rounds: int = ROUNDS, trees: int = 300, floor: int = 100) -> DataFrame:
     """The baseline and the three techniques, always together, with their cut of the gap."""
     train, test, _ = M.prepared(df, year)
@@ -84,8 +89,13 @@ def compare(df: DataFrame, year: int, rounds: int = ROUNDS, trees: int = 300, fl
     rows, fitted = train, base
     for _ in range(rounds):
         own = M.scores(fitted, rows)
-        rows = constrained_round(own, M.cutoff(own, rate), 1.0 - rate, groups).persist()
-        fitted = fit(rows, "weight")
+        again = _kept(constrained_round(own, M.cutoff(own, rate), 1.0 - rate, groups))
+        fitted = fit(again, "weight")
+        if rows is not train:
+            rows.unpersist()
+        rows = again
+    if rows is not train:
+        rows.unpersist()
     parts = [outcome("baseline", base), outcome("reweighing", fit(weighed, "weight")), outcome("constrained", fitted), outcome("group_cutoffs", base, True)]
     return gap_cuts(reduce(DataFrame.union, parts))
 

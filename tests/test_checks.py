@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenhand.functions import clean
-from evenhand.operators import model, sampling, verify
+from evenhand.operators import mitigate, model, sampling, verify
 from evenhand.sources import register
 
 
@@ -169,3 +169,12 @@ def test_full_audit_agrees_with_its_parts(apps):
 def test_controlled_gaps_of_lenders_without_both_groups_are_not_estimable(apps):
     found = model.lender_controlled_gaps(apps, ["nobody"], "derived_race", "BUILDING", "FURNITURE").first()
     assert tuple(found) == ("nobody", None, False)
+
+
+def test_comparison_of_techniques(apps):
+    found = {r["technique"]: r for r in mitigate.compare(apps, 1998, rounds=2, trees=2, floor=10).collect()}
+    assert set(found) == {"baseline", "reweighing", "constrained", "group_cutoffs"}
+    base = found["baseline"]
+    assert base["gap_cut_pp"] == 0 and base["accuracy_change"] == 0 and base["margin_change"] == 0
+    for r in found.values():
+        assert r["gap_cut_pp"] == pytest.approx(base["approval_gap_pp"] - r["approval_gap_pp"]) and 0 <= r["approval_rate"] <= 1

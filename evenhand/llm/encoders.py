@@ -92,6 +92,63 @@ class WordPieces:
         return out
 
 
+#: Where pieces could reach over a space: white space on both of its sides, or before it at the end; and special tokens.
+WIDE_SPACE = re.compile(r"[\s\u180e] (?:[\s\u180e]|\Z)|<\|")
+
+
+class BytePieces:
+    """Ids of a byte-level BPE file, a space-parted chunk at a time.
+
+    The file's pre-tokenizer gives a space to what follows it, so a chunk has
+    the same ids wherever it stands, and so have the lines of a chunk: the
+    library encodes new ones, and known ones come from a bounded cache.  Texts
+    in which a piece could reach over a space are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of 16 bits are wanted")
+        self.plain: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, chunk: str, before: str) -> bytes:
+        lines = chunk.split("\n")
+        if len(lines) == 1 or not all(x and x == x.strip() for x in lines):
+            return self.whole(before + chunk)
+        first = self.known(lines[0], before)
+        return first + b"".join(self.known("\n", "") + self.known(x, "") for x in lines[1:])
+
+    def known(self, chunk: str, before: str) -> bytes:
+        cache = self.spaced if before else self.plain
+        found = cache.get(chunk)
+        if found is None:
+            found = self.chunk(chunk, before) if "\n" in chunk and chunk != "\n" else self.whole(before + chunk)
+            if len(chunk) <= CACHE_LENGTH:
+                cache[chunk] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 16-bit ids."""
+        if WIDE_SPACE.search(text):
+            return self.whole(text)
+        for cache in (self.plain, self.spaced):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+                self.plain[""] = b""
+        first, *rest = text.split(" ")
+        start, spaced = self.known(first, ""), self.spaced
+        try:
+            return start + b"".join([spaced[w] for w in rest])
+        except KeyError:
+            return start + b"".join([spaced[w] if w in spaced else self.known(w, " ") for w in rest])
+
+
 class RankFile:
     """Byte-level BPE from a rank file."""
 

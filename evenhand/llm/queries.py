@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_counts
+from . import decontamination, hard_negatives, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_counts, token_store
 from .sql import SQL as SQL  # noqa: PLC0414  for __spark_entry__
-from .tables import documents
+from .tables import documents, shared_dir
 
 #: The pseudonyms' key of the registered queries; a real run passes its own secret.
 PII_KEY = "evenhand-demo-key"
@@ -73,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
 
 
+def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir), f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}", _vocabulary("byte_bpe_50k.json"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = documents(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -93,6 +99,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_sharding, op3_pii, op4_jaccard_join, op5_packing, op6_suffix_dedup, op7_decontamination,
-        op8_quality_classifier, op9_lm_scoring, op10_quality_rules, op12_hard_negatives, op13_spelling_variants, pipeline,
+        op8_quality_classifier, op9_lm_scoring, op10_quality_rules, op11_token_binary, op12_hard_negatives, op13_spelling_variants, pipeline,
     )
 }

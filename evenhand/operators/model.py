@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evenhand.functions.clean import category, debt_to_income_midpoint, debt_to_income_rank, denied, income_dollars, loan_to_income, number_or_null, replace_sentinels, to_float
 from evenhand.operators.sampling import exact_auc, order_statistics
 from evenhand.operators.screen import NO_GROUP, keep
+from evenhand.operators.trees import Forest, boost
 
 CODES = ("loan_type", "loan_purpose", "lien_status", "occupancy_type", "preapproval", "conforming_loan_limit", "construction_method", "total_units", "open-end_line_of_credit", "business_or_commercial_purpose", "reverse_mortgage")
 NUMBERS = ("loan_amount", "income", "debt_to_income_ratio", "loan_to_value_ratio", "property_value")
@@ -113,9 +114,9 @@ def logistic(rows: DataFrame, n: int, label: str = "y", weight: str | None = Non
     return (fit.setWeightCol(weight) if weight else fit).fit(rows)
 
 
-def boosted(rows: DataFrame, trees: int = 300, depth: int = 5, seed: int = 0, label: str = "y", weight: str | None = None):
-    fit = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, stepSize=0.05 if trees >= 100 else 0.1, maxDepth=depth, minInstancesPerNode=50, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)
-    return (fit.setWeightCol(weight) if weight else fit).fit(rows)
+def boosted(rows: DataFrame, trees: int = 300, rate: float = 0.05, leaves: int = 31, seed: int = 0, label: str = "y", weight: str | None = None) -> Forest:
+    """Boosted trees of at most ``leaves`` leaves of 50 rows or more; each sees 0.9 of the inputs and of the rows it is grown on."""
+    return boost(rows, label, [weight], [seed], trees, rate, leaves)[0]
 
 
 def network(rows: DataFrame, inputs: int, seed: int = 0, rounds: int = 60, label: str = "y"):
@@ -125,6 +126,8 @@ def network(rows: DataFrame, inputs: int, seed: int = 0, rounds: int = 60, label
 
 def scores(model, rows: DataFrame) -> DataFrame:
     """``rows`` with ``score``, the probability of denial."""
+    if isinstance(model, Forest):
+        return rows.withColumn("score", model.score(F.col("features")))
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 

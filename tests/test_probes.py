@@ -47,7 +47,7 @@ def test_probe_tells_the_label_but_not_the_control(rows):
 
 @pytest.mark.parametrize("kind", ["trees", "logistic"])
 def test_model_drivers_rank_what_the_model_uses(rows, kind):
-    fit = model.boosted(rows, trees=5, depth=2) if kind == "trees" else model.logistic(rows, 600)
+    fit = model.boosted(rows, trees=5, leaves=4) if kind == "trees" else model.logistic(rows, 600)
     names = ["income", "loan_type_1", "loan_type_2"]
     found = recourse.model_drivers(fit, rows, names, "g").orderBy("group_value", "rank").collect()
     assert [(r["group_value"], r["parent"], r["rank"]) for r in found] == [(g, p, i) for g in "ab" for i, p in ((1, "income"), (2, "loan_type"))]

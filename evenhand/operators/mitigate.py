@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import expected_value
 from evenhand.operators import model as M
 from evenhand.operators.sampling import order_statistics
+from evenhand.operators.trees import boost
 
 ROUNDS, STEP = 8, 2.0
 
@@ -40,18 +39,23 @@ def decide(scored: DataFrame, cut: float, by_group: DataFrame | None = None) ->
 
 
 def measure(decided: DataFrame, technique: str, groups: DataFrame) -> DataFrame:
-    """One row: gap of the widest pair of eligible groups, accuracy, approval rate, principal, margin per 1,000."""
-    rates = decided.join(F.broadcast(groups.select(F.col("group_value").alias("g"))), "g").groupBy("g").agg(F.avg("approve").alias("rate"))
-    gap = rates.agg(
-        ((F.max("rate") - F.min("rate")) * 100.0).alias("approval_gap_pp"), F.max_by("g", F.struct(F.col("rate"), F.col("g"))).alias("high_group"), F.min_by("g", F.struct(F.col("rate"), F.col("g"))).alias("low_group")
-    )
+    """One row: gap of the widest pair of eligible groups, accuracy, approval rate, principal, margin per 1,000.
+
+    One aggregate by group feeds all but the median.
+    """
     paid = F.when(F.col("approve") == 1, F.col("principal"))
-    whole = decided.agg(
-        (F.avg((F.col("approve") == 1 - F.col("y")).cast("double")) * 100.0).alias("accuracy_pct"), F.avg("approve").alias("approval_rate"),
-        F.coalesce(F.avg(paid), F.lit(0.0)).alias("mean_principal"),
+    each = decided.groupBy("g").agg(
+        F.count("*").alias("n"), F.sum("approve").alias("yes"), F.sum((F.col("approve") == 1 - F.col("y")).cast("bigint")).alias("right"), F.sum(paid).alias("paid"), F.count(paid).alias("loans"),
+    )
+    each = each.join(F.broadcast(groups.select(F.col("group_value").alias("g"), F.lit(True).alias("eligible"))), "g", "left")  # a row per group
+    pair = F.when(F.col("eligible"), F.struct((F.col("yes").cast("double") / F.col("n")).alias("rate"), F.col("g")))
+    whole = each.agg(
+        ((F.max(pair)["rate"] - F.min(pair)["rate"]) * 100.0).alias("approval_gap_pp"), F.max(pair)["g"].alias("high_group"), F.min(pair)["g"].alias("low_group"),
+        (F.sum("right").cast("double") / F.sum("n") * 100.0).alias("accuracy_pct"), (F.sum("yes").cast("double") / F.sum("n")).alias("approval_rate"),
+        F.coalesce(F.try_divide(F.sum("paid"), F.sum("loans")), F.lit(0.0)).alias("mean_principal"),
     )
     median = order_statistics(decided, paid, {"m": 0.5}).select(F.coalesce("m", F.lit(0.0)).alias("median_principal"))
-    out = whole.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(gap))  # one row each
+    out = whole.crossJoin(F.broadcast(median)).select("accuracy_pct", "approval_rate", "mean_principal", "median_principal", "approval_gap_pp", "high_group", "low_group")  # one row each
     return out.select(F.lit(technique).alias("technique"), "*", (F.col("approval_rate") * 1000.0 * expected_value(F.col("mean_principal"))).alias("margin_per_1000"))
 
 
@@ -72,32 +76,48 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def compare(df: DataFrame, year: int, rounds: int = ROUNDS, trees: int = 300, floor: int = 100) -> DataFrame:
-    """The baseline and the three techniques, always together, with their cut of the gap."""
-    train, test, _ = M.prepared(df, year)
-    train, test = train.withColumn("weight", F.lit(1.0)).persist(), test.persist()
+    """The baseline and the three techniques, always together, with their cut of the gap.
+
+    Baseline and reweighed trees grow side by side; the constrained rounds
+    follow each other, each on the weights that the one before left.  What is
+    persisted is given back before the four rows return.
+    """
+    train, test, scaler = M.prepared(df, year)
+    train, test = (M.missing_as_nan(x, scaler) for x in (train, test))
+    train = train.join(F.broadcast(reweighing(train)).withColumnRenamed("weight", "fair"), ["g", "y"]).withColumn("weight", F.lit(1.0)).persist()  # a row per group and label
+    test = test.persist()
     groups = M.eligible_groups(test.withColumnRenamed("g", "gv"), "gv", floor).persist()
     rate = train.agg(F.avg("y")).first()[0]
-    fit = lambda rows, weight=None: M.boosted(rows, trees=trees, weight=weight)
+    base, fair = boost(train, weights=[None, "fair"], trees=trees)
+    narrow = ["app_id", "g", "y", "principal", "score"]
 
-    def outcome(name: str, fitted, by_group: bool = False) -> DataFrame:
-        own = M.scores(fitted, train)
+    def outcome(name: str, fitted, by_group: bool = False) -> tuple:
+        own, other = (M.scores(fitted, x).select(*narrow).persist() for x in (train, test))
         cut = M.cutoff(own, rate)
-        return measure(decide(M.scores(fitted, test), cut, group_cutoffs(own, rate, floor) if by_group else None), name, groups)
+        found = measure(decide(other, cut, group_cutoffs(own, rate, floor) if by_group else None), name, groups).first()  # one row
+        for x in (own, other):
+            x.unpersist()
+        return found
 
-    base = fit(train)
-    weighed = train.drop("weight").join(F.broadcast(reweighing(train)), ["g", "y"])
     rows, fitted = train, base
     for _ in range(rounds):
-        own = M.scores(fitted, rows)
+        own = M.scores(fitted, rows).persist()  # for the cut-off and for the weights
         again = _kept(constrained_round(own, M.cutoff(own, rate), 1.0 - rate, groups))
-        fitted = fit(again, "weight")
+        again.count()
+        own.unpersist()
+        fitted = boost(again, weights=["weight"], trees=trees)[0]
         if rows is not train:
             rows.unpersist()
         rows = again
     if rows is not train:
         rows.unpersist()
-    parts = [outcome("baseline", base), outcome("reweighing", fit(weighed, "weight")), outcome("constrained", fitted), outcome("group_cutoffs", base, True)]
-    return gap_cuts(reduce(DataFrame.union, parts))
+    parts = [outcome("baseline", base), outcome("reweighing", fair), outcome("constrained", fitted), outcome("group_cutoffs", base, True)]
+    for x in (train, test, groups):
+        x.unpersist()
+    return gap_cuts(df.sparkSession.createDataFrame(parts, OUTCOME))
+
+
+OUTCOME = "technique string, accuracy_pct double, approval_rate double, mean_principal double, median_principal double, approval_gap_pp double, high_group string, low_group string, margin_per_1000 double"
 
 
 def gap_cuts(outcomes: DataFrame) -> DataFrame:

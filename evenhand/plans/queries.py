@@ -689,8 +689,8 @@ def _(df):
 
 @query("r3_boosted")
 def _(df):
-    train, test, _ = M.prepared(df, 2000)
-    return M.scores(M.boosted(train), test).select("app_id", "y", "score")
+    train, test, scaler = M.prepared(df, 2000)
+    return M.scores(M.boosted(M.missing_as_nan(train, scaler)), M.missing_as_nan(test, scaler)).select("app_id", "y", "score")
 
 
 @query("r4_base_rate", " select app_id, (select round(avg(cast(action_taken='3' as double)), 6) from app where action_taken in ('1','2','3') and cast(activity_year as int) < 2000) as score from app where action_taken in ('1','2','3') and cast(activity_year as int) >= 2000")
@@ -706,12 +706,7 @@ def _(df):
 
 @query("r6_seed_table")
 def _(df):
-    out = None
-    for seed in (0, 1, 2):
-        drawn = S.stratified_draw(A.keep(df, "decisions_only"), "activity_year", "app_id", 1_500_000, seed)
-        one = M.evaluate(drawn, 2000).withColumn("seed", F.lit(seed))
-        out = one if out is None else out.union(one)
-    return P.summary_over_seeds(out, "challenger", "auc")
+    return P.summary_over_seeds(M.seed_table(df, 2000, 1_500_000), "challenger", "auc")
 
 
 @query("r7_cutoff", DEMO + ", l as (select list_sort(list(score)) as s, (1.0-avg(y))*(count(*)-1) as p, count(*) as n from demo) select round(s[cast(floor(p) as int)+1] + (p-floor(p))*(s[least(cast(floor(p) as int)+2, n)] - s[cast(floor(p) as int)+1]), 6) as cutoff from l")
@@ -811,7 +806,7 @@ def _(df):
 @query("r19_model_drivers")
 def _(df):
     train, test, scaler = M.prepared(df, 2000)
-    return R.model_drivers(M.boosted(train), test, scaler.names, "g")
+    return R.model_drivers(M.boosted(M.missing_as_nan(train, scaler)), M.missing_as_nan(test, scaler), scaler.names, "g")
 
 
 @query("r20_race_probe")

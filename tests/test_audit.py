@@ -152,44 +152,6 @@ def test_incremental_ingest_reads_once(spark, tmp_path):
     assert run() == 1 and spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
-def test_models_are_registered_whole(spark, monkeypatch):
-    from unittest.mock import MagicMock
-
-    from evenhand.operators import mitigate
-    from evenhand.plans import queries as q
-
-    fits, ran, app = MagicMock(), MagicMock(), MagicMock()
-    monkeypatch.setattr(q.src, "applications", lambda *_: app)
-    monkeypatch.setattr(q.A, "keep", lambda df, _: df)
-    train, test, scaler = MagicMock(), MagicMock(), MagicMock()
-    monkeypatch.setattr(model, "prepared", lambda *_: (train, test, scaler))
-    for name in ("boosted", "network", "scores", "lender_controlled_gaps"):
-        monkeypatch.setattr(model, name, getattr(fits, name))
-    q.QUERIES["r3_boosted"](spark, "")
-    q.QUERIES["r22_network_score"](spark, "")
-    assert fits.boosted.call_args == ((train,),) and fits.network.call_args == ((train, len(scaler.names)),)
-
-    gaps = spark.createDataFrame([(f"L{i:02d}", float(i), i > 2) for i in range(40)], "lei string, shrunk_gap_pp double, on_watch_list boolean")
-    monkeypatch.setattr(q, "_gaps", lambda _: gaps)
-    q.QUERIES["a9_lender_controlled"](spark, "")
-    assert fits.lender_controlled_gaps.call_args[0][1] == [f"L{i:02d}" for i in range(39, 14, -1)]
-
-    monkeypatch.setattr(model, "exact_auc", ran.exact_auc)
-    monkeypatch.setattr(model, "logistic", fits.logistic)
-    q.QUERIES["r5_paired_evaluation"](spark, "")
-    assert fits.boosted.call_args == ((train.persist(),),)
-
-    for name in ("evaluate", "stratified_draw"):
-        monkeypatch.setattr(q.M if name == "evaluate" else q.S, name, getattr(ran, name))
-    monkeypatch.setattr(q.P, "summary_over_seeds", ran.summary)
-    q.QUERIES["r6_seed_table"](spark, "")
-    assert [c[0][3:] for c in ran.stratified_draw.call_args_list] == [(1_500_000, seed) for seed in (0, 1, 2)]
-
-    monkeypatch.setattr(mitigate, "compare", ran.compare)
-    q.QUERIES["r13_compare_techniques"](spark, "")
-    assert ran.compare.call_args == ((app, 2000),)
-
-
 def test_comparison_defaults():
     from inspect import signature
 

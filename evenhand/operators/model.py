@@ -149,10 +149,12 @@ def prepared(df: DataFrame, year: int, group: str = "derived_race", floor: int =
 
 def missing_as_nan(rows: DataFrame, scaler: Scaled) -> DataFrame:
     """``rows`` with NaN in ``features`` where a flag says that the value is missing: trees have a branch for those."""
-    x, at = vector_to_array("features"), {n: i for i, n in enumerate(scaler.names)}
+    name = "_x" if "_x" not in rows.columns else "__x"
+    at = {n: i for i, n in enumerate(scaler.names)}
     flag = {n: at[f"{n}_missing"] for n in scaler.flags}
-    values = [F.when(F.get("_x", F.lit(flag[n])) > 0, F.lit(float("nan"))).otherwise(F.get("_x", F.lit(i))) if n in flag else F.get("_x", F.lit(i)) for i, n in enumerate(scaler.names)]
-    return rows.withColumn("_x", x).withColumn("features", array_to_vector(F.array(*values))).drop("_x")
+    value = lambda i: F.get(name, F.lit(i))
+    values = [F.when(value(flag[n]) > 0, F.lit(float("nan"))).otherwise(value(i)) if n in flag else value(i) for i, n in enumerate(scaler.names)]
+    return rows.withColumn(name, vector_to_array("features")).withColumn("features", array_to_vector(F.array(*values))).drop(name)
 
 
 def evaluate(df: DataFrame, year: int, challengers: dict | None = None) -> DataFrame:

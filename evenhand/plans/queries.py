@@ -787,12 +787,31 @@ def _(df):
     return r6(R.recourse_by_group(_recourse(df)), "unreachable_share").withColumn("median_increase", F.round("median_increase", 4))
 
 
-@query("r18_stability")
+DRAWS = f"""u as (select k, increase, (('0x' || substr(md5(app_id || ':' || k), 1, 8))::bigint + 0.5) / 4294967296.0 as u from rq, range(10) t(k) where increase > 0),
+ w as (select k, increase, {" + ".join(f"cast(u > {e} as int)" for e in R.POISSON)} as w from u), n as (select k, unnest(range(w)), increase from w)"""
+
+
+@query("r18_stability", RECOURSE + ", " + DRAWS + " select cast(k as int) as replicate, round(median(increase), 4) as median_increase from n group by k")
+def _(df):
+    return R.stability(_recourse(df)).withColumn("median_increase", F.round("median_increase", 4))
+
+
+@query("r16_model_recourse")
+def _(df):
+    return R.study(df, 2000).select("app_id", "g", F.round("increase", 4).alias("increase"))
+
+
+@query("r17_model_recourse")
+def _(df):
+    return R.recourse_by_group(R.study(df, 2000, lambda rows, n: M.boosted(rows)))
+
+
+@query("r18_model_stability")
 def _(df):
-    return R.stability(_recourse(df))
+    return R.stability(R.study(df, 2000))
 
 
-@query("r19_drivers", DEMO + ", m as (select avg(inc) as mi, avg(principal) as mp, avg(rank) as mr from demo), l as (select g, abs(0.00001*(inc-mi)) as a, abs(0.00002*(principal-mp)) as b, abs(0.05*(rank-mr)) as c from demo, m), s as (select g, count(*) as n, avg(a) as a, avg(b) as b, avg(c) as c from l group by g having count(*) >= 30), u as (select g, 'income' as parent, a as v, 'applicant income' as label from s union all select g, 'loan_amount', b, 'loan amount' from s union all select g, 'debt_to_income_ratio', c, 'debt-to-income ratio' from s) select g as group_value, parent, round(v, 6) as contribution, row_number() over (partition by g order by v desc, parent) as rank, label from u")
+@query("r19_drivers", DEMO + ", m as (select avg(inc) as mi, avg(principal) as mp, avg(rank) as mr from demo), l as (select g, abs(0.00001*(inc-mi)) as a, abs(0.00002*(principal-mp)) as b, abs(0.05*(rank-mr)) as c from demo, m), s as (select g, count(*) as n, avg(a) as a, avg(b) as b, avg(c) as c from l group by g having count(*) >= 30), u as (select g, 'income' as parent, a as v, 'income' as label from s union all select g, 'loan_amount', b, 'loan amount' from s union all select g, 'debt_to_income_ratio', c, 'debts to income' from s) select g as group_value, parent, round(v, 6) as contribution, row_number() over (partition by g order by v desc, parent) as rank, label from u")
 def _(df):
     found = R.drivers(demo_scores(df), {"inc": 0.00001, "principal": 0.00002, "rank": 0.05}, {"inc": "income", "principal": "loan_amount", "rank": "debt_to_income_ratio"}, "g")
     return r6(found, "contribution").withColumn("rank", F.col("rank").cast("bigint"))

@@ -51,7 +51,7 @@ def test_model_drivers_rank_what_the_model_uses(rows, kind):
     names = ["income", "loan_type_1", "loan_type_2"]
     found = recourse.model_drivers(fit, rows, names, "g").orderBy("group_value", "rank").collect()
     assert [(r["group_value"], r["parent"], r["rank"]) for r in found] == [(g, p, i) for g in "ab" for i, p in ((1, "income"), (2, "loan_type"))]
-    assert found[0]["label"] == "applicant income" and found[0]["contribution"] > 5 * found[1]["contribution"]
+    assert found[0]["label"] == "income" and found[0]["contribution"] > 5 * found[1]["contribution"]
     assert recourse.model_drivers(fit, rows, names, "g", floor=301).count() == 0
 
 
@@ -64,9 +64,9 @@ def test_drivers_sum_absolute_terms_of_a_parent(spark):
 
 
 def test_names():
-    assert recourse.readable("loan_purpose_31") == "loan purpose: 31"
-    assert recourse.readable("open_end_line_of_credit_2") == "open-end line of credit flag: 2"
-    assert recourse.readable("income_missing") == "applicant income is missing"
+    assert recourse.readable("loan_purpose_31") == "loan purpose: refinancing"
+    assert recourse.readable("open_end_line_of_credit_2") == "open-end credit line: no"
+    assert recourse.readable("income_missing") == "income (missing)"
     assert recourse.parent_of("debt_to_income_rank_missing") == "debt_to_income_ratio"
     assert recourse.parent_of("loan_to_income") == "loan_to_income" and recourse.parent_of("total_units_1") == "total_units"
 

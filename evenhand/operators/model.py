@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import category, debt_to_income_midpoint, debt_to_income_rank, denied, income_dollars, loan_to_income, number_or_null, replace_sentinels, to_float
+from evenhand.operators.kept import written
 from evenhand.operators.sampling import exact_auc, order_statistics, stratified_draw
 from evenhand.operators.screen import NO_GROUP, keep
 from evenhand.operators.trees import Forest, boost
@@ -256,12 +259,77 @@ def controlled_disparity(df: DataFrame, group: str = "derived_race", reference:
     return df.sparkSession.createDataFrame(rows, "group_value string, applications long, raw_gap_pp double, controlled_gap_pp double, reference_group string, status string, race_not_reported_share double")
 
 
-def lender_controlled_gaps(df: DataFrame, lenders: list[str], group: str, value: str, reference: str) -> DataFrame:
-    """(lei, controlled_gap_pp, estimable) for a short list of lenders, one filtered fit each."""
-    rows = keep(df, "not_purchased").where(F.col("lei").isin(lenders)).persist()
-    found = [(x, controlled_gap(rows.where(F.col("lei") == x), group, value, reference)) for x in lenders]
-    rows.unpersist()
-    return df.sparkSession.createDataFrame([(a, b, b is not None) for a, b in found], "lei string, controlled_gap_pp double, estimable boolean")
+def lender_controlled_gaps(df: DataFrame, lenders: list[str] | DataFrame, group: str, value: str, reference: str, rounds: int = 8) -> DataFrame:
+    """(lei, controlled_gap_pp, estimable) for lenders, a list or a column ``lei``: all fits at once, by ``grouped_gaps``."""
+    rows = keep(df, "not_purchased")
+    wanted = df.sparkSession.createDataFrame([(x,) for x in lenders], "lei string") if isinstance(lenders, list) else lenders.select("lei").distinct()
+    found = grouped_gaps(rows.join(wanted, "lei", "left_semi"), "lei", group, value, reference, rounds)
+    found = wanted.distinct().join(found, "lei", "left").withColumn("estimable", F.col("controlled_gap_pp").isNotNull())
+    return found.select("lei", "controlled_gap_pp", "estimable")
+
+
+def grouped_gaps(df: DataFrame, by: str, group: str, value: str, reference: str, rounds: int = 8) -> DataFrame:
+    """(by, controlled_gap_pp): ``controlled_gap`` of every value of ``by``, each from a fit of its own, in a fixed number of jobs.
+
+    Each Newton step is one map-side combined aggregate of X'WX and X'(y - p)
+    per value of ``by``, and a small solve for each of them; an average step
+    follows for the gaps.  Levels, medians, means and deviations are those of
+    the value's own rows: a column that is constant there is scaled to 0 and
+    its coefficient stays 0, as if it were absent.  Null where a control has
+    no usable value; 0 where only one outcome occurs.
+    """
+    numeric = {"income": number_or_null("income", 1000.0), "loan_to_value_ratio": number_or_null("loan_to_value_ratio"), "debt_to_income_ratio": debt_to_income_midpoint()}
+    two = df.where(F.col(group).isin(value, reference) & F.col(by).isNotNull())
+    two = two.select(F.col(by).alias("_by"), denied().cast("double").alias("_y"), (F.col(group) == value).cast("double").alias("_g"), *(c.cast("double").alias(f"_{n}") for n, c in numeric.items()), category("loan_purpose").alias("_purpose"), category("lien_status").alias("_lien"))
+    two = written(two)
+    levels_ = two.groupBy("_by").agg(F.count("*").alias("_n"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"), F.min("_purpose").alias("_purpose0"), F.min("_lien").alias("_lien0"), *(F.count(f"_{n}").alias(f"_c_{n}") for n in numeric))
+    long = two.select("_by", F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(f"_{n}").alias("_v")) for n in numeric))))
+    median = order_statistics(long, F.col("_v"), {"_m": 0.5}, ("_by", "_name")).groupBy("_by").agg(*(F.max(F.when(F.col("_name") == n, F.col("_m"))).alias(f"_m_{n}") for n in numeric))
+    known = {c: sorted(r[0] for r in two.select(c).distinct().collect()) for c in ("_purpose", "_lien")}  # codes
+    usable = " and ".join(f"_c_{n} > 0" for n in numeric)
+    rows = two.join(levels_.join(median, "_by"), "_by").where(f"{usable} and _y0 < _y1")
+    x = [F.coalesce(F.col(f"_{n}"), F.col(f"_m_{n}")) for n in numeric]
+    x += [F.when(F.col(f"{c}0") == v, 0.0).otherwise((F.col(c) == v).cast("double")) for c, vs in known.items() for v in vs]
+    x += [F.col("_g"), *(F.col(f"_{n}").isNull().cast("double") for n in numeric)]
+    d, at = len(x), len(x) - 1 - len(numeric)
+    rows = written(rows.select("_by", "_y", F.array(*x).alias("_x")))
+    parts = [f(F.get("_x", F.lit(i))).alias(f"_{k}{i}") for i in range(d) for k, f in (("a", F.avg), ("s", F.stddev_pop))]
+    scale = rows.groupBy("_by").agg(F.count("*").alias("_n"), *parts)
+    scale = scale.select("_by", "_n", F.array(*(f"_a{i}" for i in range(d))).alias("_mean"), F.array(*(F.when(F.col(f"_s{i}") > 1e-12, F.col(f"_s{i}")) for i in range(d))).alias("_sd"))
+    scale = written(scale)
+    scaled = F.transform(F.arrays_zip(F.col("_x").alias("v"), F.col("_mean").alias("m"), F.col("_sd").alias("s")), lambda z: F.coalesce((z["v"] - z["m"]) / z["s"], F.lit(0.0)))
+    rows = written(rows.join(scale, "_by").select("_by", "_y", scaled.alias("_x")))
+    # Row 0 of every fit is the intercept, which has no penalty.
+    fits = scale.select("_by", "_n", F.array(*(F.lit(0.0) for _ in range(d + 1))).alias("_w"))
+    pairs = [(i, j) for i in range(d + 1) for j in range(i + 1)]
+    cell = lambda i: F.lit(1.0) if i == 0 else F.get("_x", F.lit(i - 1))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples(index=False):
+            h, g, w = np.zeros((d + 1, d + 1)), np.array(r.gradient), np.array(r.old)
+            for (i, j), v in zip(pairs, r.hessian, strict=True):
+                h[i, j] = h[j, i] = v
+            penalty = np.r_[0.0, np.ones(d)]
+            out.append((r.by, r.n, list(w + np.linalg.solve(h + np.diag(penalty), g - penalty * w))))
+        return pd.DataFrame(out, columns=["_by", "_n", "_w"])
+
+    margin = lambda: F.aggregate(F.zip_with(F.col("_x"), F.slice("_w", 2, d), lambda a, b: a * b), F.get("_w", F.lit(0)), lambda s, v: s + v)
+    for _ in range(rounds):
+        one = rows.join(fits, "_by").withColumn("_p", 1.0 / (1.0 + F.exp(-margin())))
+        slope = F.col("_p") * (1.0 - F.col("_p"))
+        sums = one.groupBy("_by").agg(
+            F.max("_n").alias("n"), F.first("_w").alias("old"),
+            F.array(*(F.sum(slope * cell(i) * cell(j)) for i, j in pairs)).alias("hessian"), F.array(*(F.sum((F.col("_y") - F.col("_p")) * cell(i)) for i in range(d + 1))).alias("gradient"),
+        )
+        fits = written(sums.withColumnRenamed("_by", "by").mapInPandas(lambda it: (solve(p) for p in it), "_by string, _n long, _w array<double>"))
+    w, m, s = F.get("_w", F.lit(at + 1)), F.get("_mean", F.lit(at)), F.get("_sd", F.lit(at))
+    rest = margin() - w * F.get("_x", F.lit(at))
+    sig = lambda z: 1.0 / (1.0 + F.exp(-z))
+    apart = F.when(s.isNull(), 0.0).otherwise(sig(F.col("_rest") + w * (1 - m) / s) - sig(F.col("_rest") - w * m / s))
+    gaps = rows.join(fits.join(scale.drop("_n"), "_by"), "_by").withColumn("_rest", rest).groupBy("_by").agg((100.0 * F.avg(apart)).alias("_gap"))
+    whole = levels_.where(usable).join(gaps, "_by", "left")
+    return whole.select(F.col("_by").alias(by), F.when(F.col("_y0") == F.col("_y1"), 0.0).otherwise(F.col("_gap")).alias("controlled_gap_pp"))
 
 
 def eligible_groups(df: DataFrame, group: str, floor: int = 100) -> DataFrame:

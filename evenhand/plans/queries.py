@@ -639,10 +639,15 @@ def _(df):
 
 @query("a9_lender_controlled")
 def _(df):
-    top = [r["lei"] for r in _gaps(df).where("on_watch_list").orderBy(F.col("shrunk_gap_pp").desc(), "lei").limit(25).collect()]
+    top = _gaps(df).where("on_watch_list").orderBy(F.col("shrunk_gap_pp").desc(), "lei").limit(25)
     return M.lender_controlled_gaps(df, top, "derived_race", "BUILDING", "FURNITURE")
 
 
+@query("a9_all_lenders")
+def _(df):
+    return M.lender_controlled_gaps(df, df.select("lei").where("lei is not null"), "derived_race", "BUILDING", "FURNITURE")
+
+
 @query("a10_waterfall", WATER)
 def _(df):
     return A.waterfall(df, ["not_purchased", "income_known", "decisions_only"])

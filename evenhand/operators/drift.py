@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import debt_to_income_rank, income_dollars, loan_to_value, psi_term, replace_sentinels, to_float
+from evenhand.operators.kept import written
 from evenhand.operators.sampling import order_statistics
 
 THRESHOLD = 0.2
@@ -35,15 +36,35 @@ def drift(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Numeric inputs are cut at the deciles of both years together, equal edges
     once; missing values are left out; fewer than two bins, one value alone or
-    an empty side give 0.  One unpivot of value counts feeds all pairs.
+    an empty side give 0.  One unpivot of value counts, written once, feeds all
+    pairs and both of their uses.
     """
-    pairs = F.broadcast(adjacent_years(df))  # a row per year
-    year = F.col("activity_year").try_cast("int")
-    numeric, coded = numeric_inputs(), coded_inputs()
-    cell = lambda n, num, text: F.struct(F.lit(n).alias("column"), num.alias("x"), text.alias("code"))
-    cells = [cell(n, c.cast("double"), F.lit(None).cast("string")) for n, c in numeric.items()] + [cell(n, F.lit(None).cast("double"), c) for n, c in coded.items()]
-    counts = df.select(year.alias("year"), F.explode(F.array(*cells)).alias("c")).select("year", "c.*").where("x is not null or code is not null")
-    counts = counts.groupBy("year", "column", "x", "code").agg(F.count("*").alias("n"))
+    return drift_from_counts(written(value_counts(df)), threshold)
+
+
+#: The name of the cell that keeps a year known where all its inputs are missing.
+YEAR = "year"
+
+
+def cells() -> list[tuple[str, Column, Column]]:
+    """(input, number, code) of every input; one of number and code is null."""
+    null = F.lit(None)
+    numbers = [(n, c.cast("double"), null.cast("string")) for n, c in numeric_inputs().items()]
+    return [*numbers, *((n, null.cast("double"), c) for n, c in coded_inputs().items()), (YEAR, null.cast("double"), F.lit(""))]
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(year, column, x, code, n): how often each value of each input occurs, by year; one unpivot of the rows."""
+    each = [F.struct(F.lit(n).alias("column"), x.alias("x"), code.alias("code")) for n, x, code in cells()]
+    counts = df.select(F.col("activity_year").try_cast("int").alias("year"), F.inline(F.array(*each))).where("year is not null and (x is not null or code is not null)")
+    return counts.groupBy("year", "column", "x", "code").agg(F.count("*").alias("n"))
+
+
+def drift_from_counts(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``drift`` of the rows that ``counts`` (``value_counts``, a written table) has counted."""
+    years = counts.where(F.col("column") == YEAR).select(F.col("year").alias("year_a")).distinct()
+    pairs = F.broadcast(years.withColumn("year_b", F.lead("year_a").over(Window.orderBy("year_a"))).where("year_b is not null"))  # a row per year
+    counts = counts.where(F.col("column") != YEAR)
     sided = counts.join(pairs, (F.col("year") == F.col("year_a")) | (F.col("year") == F.col("year_b"))).withColumn("is_a", F.col("year") == F.col("year_a"))
     keys = ["year_a", "year_b", "column"]
     # Edges from the value counts, not the rows.

@@ -55,3 +55,13 @@ def summary_over_seeds(runs: DataFrame, by: str, value: str) -> DataFrame:
     """(by, mean, sd, low, high) rounded to 4; a null value (an undefined cut) is left out."""
     v = F.col(value)
     return runs.groupBy(by).agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("sd"), F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 4).alias("high"))
+
+
+def sketches(df: DataFrame, column: str, by: list[str], bits: int = 15) -> DataFrame:
+    """(by, rows, sketch): an HLL sketch of a column's distinct values per cell of ``by``, to be stored and united."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.hll_sketch_agg(column, bits).alias("sketch"))
+
+
+def distinct_from_sketches(stored: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows, estimate) for any coarser cells, without another look at the rows."""
+    return stored.groupBy(*by).agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

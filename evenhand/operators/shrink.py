@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.clean import normal_tail
+from evenhand.operators.kept import written
 
 
 def both_groups(rates: DataFrame, group: str, reference: str, min_each: int = 5) -> DataFrame:
@@ -27,7 +28,7 @@ def shrunken_gaps(rates: DataFrame, group: str, reference: str, min_each: int =
     """
     if not 0 < level < 1:
         raise ValueError("level must be between 0 and 1")
-    rows = both_groups(rates, group, reference, min_each)
+    rows = written(both_groups(rates, group, reference, min_each))  # a row per lender, for four aggregates
     pooled = rows.agg(F.count("*").alias("k"), F.sum("n_g"), F.sum("d_g"), F.sum("n_r"), F.sum("d_r")).first()
     if pooled[0] < 3:
         raise ValueError(f"only {pooled[0]} lenders have both groups")

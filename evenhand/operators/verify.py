@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.operators.kept import written
+
 
 def table_parity(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], tolerance: float | None = None) -> DataFrame:
     """(only_left, only_right, mismatched, matched) of two tables joined on null-safe keys."""
@@ -28,6 +30,34 @@ def parity_rows(left: DataFrame, right: DataFrame, keys: list[str], values: list
     return a.join(b, on, "full_outer").select(*(F.coalesce(f"{k}_a", f"{k}_b").alias(k) for k in keys), side.alias("side"))
 
 
+def digests(df: DataFrame, keys: list[str], values: list[str], ranges: int) -> DataFrame:
+    """(range, rows, digest) of ranges of the keys' hashes: sums of row hashes, the same in any order."""
+    key, row = F.xxhash64(*(F.col(k) for k in keys)), F.xxhash64(*(F.col(c) for c in [*keys, *values]))
+    return df.groupBy(F.pmod(key, F.lit(ranges)).alias("range")).agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(20,0)")).alias("digest"))
+
+
+def parity_by_digests(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], ranges: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(``table_parity``, the rows that differ), where only ranges of keys whose digests differ are joined.
+
+    Digests are two map-side combined aggregates of ``ranges`` rows each.  If
+    they all agree, no row is joined.  Agreement is that of 64-bit hashes,
+    summed; types of both sides must agree.  Values are compared exactly.
+    """
+    a, b = digests(left, keys, values, ranges), digests(right, keys, values, ranges)
+    both = written(a.join(b.toDF("range", "rows_b", "digest_b"), "range", "full_outer"))
+    same = F.col("rows").eqNullSafe(F.col("rows_b")) & F.col("digest").eqNullSafe(F.col("digest_b"))
+    agreed = both.agg(F.coalesce(F.sum(F.when(same, F.col("rows"))), F.lit(0)).alias("n"), F.count_if(~same).alias("apart")).first()
+    if not agreed["apart"]:
+        rows = left.select(*keys).limit(0).withColumn("side", F.lit(""))
+    else:
+        apart = F.broadcast(both.where(~same).select("range"))  # ``ranges`` numbers at most
+        part = lambda df: df.withColumn("range", F.pmod(F.xxhash64(*(F.col(k) for k in keys)), F.lit(ranges))).join(apart, "range", "left_semi").drop("range")
+        rows = parity_rows(part(left), part(right), keys, values)
+    names = ("only_left", "only_right", "mismatched", "matched")
+    counts = rows.agg(*((F.count_if(F.col("side") == s) + (agreed["n"] if s == "matched" else 0)).alias(s) for s in names))
+    return counts, rows.where("side <> 'matched'")
+
+
 def set_parity(left: DataFrame, right: DataFrame, key: str, undefined: DataFrame | None = None) -> DataFrame:
     """(left_size, right_size, both, differ[, explained, unexplained]) of two sets.
 
@@ -47,13 +77,14 @@ def recount(df: DataFrame) -> DataFrame:
     """Screen counts by a second route: grouping sets instead of the unpivot."""
     from .screen import PROTECTED
 
-    df.where("action_taken <> '6' and lei is not null").createOrReplaceTempView("recount_rows")
+    rows = df.where("action_taken <> '6' and lei is not null")
     sets = ", ".join(f"(lei, {c})" for c in PROTECTED)
     name = " ".join(f"when grouping({c}) = 0 then '{c}'" for c in PROTECTED)
     value = " ".join(f"when grouping({c}) = 0 then {c}" for c in PROTECTED)
     return df.sparkSession.sql(
         f"select lei, case {name} end as group_column, case {value} end as group_value, count(*) as applications, count_if(action_taken = '3') as denials"
-        f" from recount_rows group by grouping sets ({sets})"
+        f" from {{rows}} group by grouping sets ({sets})",
+        rows=rows,
     )
 
 

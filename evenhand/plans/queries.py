@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,10 @@ from evenhand.operators import sampling as S
 from evenhand.operators import screen as A
 from evenhand.operators import shrink as E
 from evenhand.operators import verify as V
+from evenhand.operators.kept import shared_dir, written
+from evenhand.plans import audit as U
 from evenhand.sources import register as src
+from evenhand.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,6 +100,38 @@ def _(df):
     return src.wanted_files(keys, done, done.where("state_code >= 'S05'"), ["state_code", "activity_year"])
 
 
+INGESTED = ["app_id", "lei", "state_code", "activity_year", "action_taken"]
+
+
+@query("st1_streamed_ingest", " select activity_year, count(*) as n, count(distinct app_id) as applications, 0::bigint as third_run, 1::bigint as set_aside from app group by 1")
+def _(df):
+    """A folder that grows: half of the years, then the other half and a broken file, then nothing new."""
+    spark, rows = df.sparkSession, written(df.select(*INGESTED))
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+
+    def arrive(part: DataFrame, name: str) -> None:
+        part.write.options(header=True, escape='"').csv(f"{root}/in/{name}")
+
+    def run() -> int:
+        return I.ingest_register(spark, f"{root}/in", f"{root}/table", f"{root}/aside", f"{root}/checkpoint", INGESTED)
+
+    arrive(rows.where("activity_year < '1996'").repartition(4, "state_code"), "first")
+    run()
+    arrive(rows.where("activity_year >= '1996'").repartition(4, "state_code"), "second")
+    arrive(rows.select("lei").distinct().coalesce(1), "broken")
+    run()
+    third, aside = run(), spark.read.json(f"{root}/aside").count()
+    table = spark.read.parquet(f"{root}/table").groupBy("activity_year").agg(F.count("*").alias("n"), F.countDistinct("app_id").alias("applications"))
+    return table.withColumns({"third_run": F.lit(third).cast("bigint"), "set_aside": F.lit(aside).cast("bigint")})
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+QUERIES["s7_headers"] = lambda spark, sf_dir: src.headers(spark, sf_dir)
+SQL["s7_headers"] = f"select table_name || '.parquet' as file, cast(ordinal_position as int) as place, column_name as \"column\" from information_schema.columns where table_name in {TABLES}"
+#: SQL has no way to name the folder; a test holds it against DuckDB's digests of the same files.
+QUERIES["s9_manifest"] = lambda spark, sf_dir: src.manifest(spark, sf_dir)
+
+
 @query("s11_one_lender", " select app_id, action_taken from app where lei='L000003'")
 def _(df):
     return df.where(F.col("lei") == "L000003").select("app_id", "action_taken")
@@ -374,6 +410,14 @@ def _(df):
     return df.groupBy("activity_year").agg(F.count("*").alias("n"), F.countDistinct("lei").alias("lenders"))
 
 
+@query("g6_sketches", " select activity_year, count(distinct app_id) as exact, true as within_2_pct from app group by 1")
+def _(df):
+    stored = written(P.sketches(df, "app_id", ["activity_year", "state_code"]))
+    exact = df.groupBy("activity_year").agg(F.countDistinct("app_id").alias("exact"))
+    both = exact.join(P.distinct_from_sketches(stored, ["activity_year"]), "activity_year")
+    return both.select("activity_year", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_2_pct"))
+
+
 @query("g7_share_of_value", " select round(count(*) filter (where derived_race='Race Not Available')::double/count(*), 6) as share from app")
 def _(df):
     return r6(P.share_of(df, "derived_race", "Race Not Available"), "share")
@@ -586,6 +630,18 @@ def lender_screen(df):
     return _screen_out(A.lender_screen(df), "lei", "group_column")
 
 
+SQL["s12_bucketed_screen"] = SQL["a2_lender_screen"]
+
+
+@query("s12_bucketed_screen")
+def _(df):
+    name = f"register_{uuid.uuid4().hex}"
+    table = src.bucketed(df.select("lei", "action_taken", *A.PROTECTED), name)
+    out = written(_screen_out(A.lender_screen(table), "lei", "group_column"))
+    df.sparkSession.sql(f"drop table {name}")
+    return out
+
+
 @query("a3_flagged_lenders", f"+ {SCREEN} select lei, count(*) as flags from scr where ratio < 0.8 group by lei")
 def _(df):
     return A.flagged_lenders(A.lender_screen(df))
@@ -678,6 +734,31 @@ def _(df):
     return D.drift_counts(D.drift(df))
 
 
+AUDIT_STEPS = {"raw": "true", "not_purchased": "action_taken <> '6'", "decisions_only": "action_taken in ('1','2','3')", "income_known": "income <> 'NA'", "lender_known": "lei is not null"}
+
+
+def _audit_sql() -> str:
+    names = ["raw", *A.FILTERS]
+    fall = [f"select 'waterfall' as branch, '{n}' as name, count(*) as value from app where {' and '.join(AUDIT_STEPS[x] for x in names[: i + 1])}" for i, n in enumerate(names)]
+    rest = [
+        "select 'screen', status, count(*) from scr group by status", "select 'flagged', 'lenders', count(distinct lei) from scr where ratio < 0.8",
+        "select 'drift', year_a || '-' || year_b, count(*) filter (where psi > 0.2) from ps group by year_a, year_b",
+    ]
+    return f"+ {SCREEN}, {DRIFT.lstrip('+ ')} " + " union all ".join(fall + rest)
+
+
+@query("a13_audit", _audit_sql())
+def _(df):
+    return U.summary(U.from_cube(written(U.cube(df))))
+
+
+@query("a13_merged_cubes", _audit_sql())
+def _(df):
+    # As if the years had arrived one file after the other: each counted alone, then added up.
+    parts = [written(U.cube(df.where(w))) for w in ("activity_year < '1995'", "activity_year >= '1995' and activity_year < '1997'", "activity_year >= '1997'")]
+    return U.summary(U.from_cube(written(U.merged(*parts))))
+
+
 # Models ---------------------------------------------------------------------------------
 @query("r1_features", f" select app_id, {NUM('loan_amount')} as loan_amount, {INC} as income, cast({RANK} as double) as debt_to_income_rank, cast(loan_type='1' as double) as loan_type_1, cast(occupancy_type='2' as double) as occupancy_type_2, cast(action_taken='3' as int) as y from app where action_taken in ('1','2','3')")
 def _(df):
@@ -895,6 +976,14 @@ def _(df):
     return V.table_parity(A.all_group_rates(A.keep(df, "lender_known")), V.recount(df), ["lei", "group_column", "group_value"], ["applications", "denials"])
 
 
+SQL["v1_digest_parity"] = SQL["v1_parity_exact"]
+
+
+@query("v1_digest_parity")
+def _(df):
+    return V.parity_by_digests(A.all_group_rates(A.keep(df, "lender_known")), V.recount(df), ["lei", "group_column", "group_value"], ["applications", "denials"])[0]
+
+
 @query("v2_screen_parity", f"+ {SCREEN}, a as (select * from scr), {RESCREEN} " + PARITY.format(b="again", same="a.status = b.status and (a.ratio is not distinct from b.ratio or abs(a.ratio - b.ratio) <= 1e-12)"))
 def _(df):
     keys = ["lei", "group_column", "group_value"]

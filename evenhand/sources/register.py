@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,10 +115,12 @@ def wanted_files(wanted: DataFrame, manifest: DataFrame, files: DataFrame, keys:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(bytes, file, sha256) of each file of a folder; its columns are in the order of their names, so JSON lines have sorted keys.
 
-    A file is read whole by its task, so one is at most 2 GB.
+    Files of any size: each is hashed in pieces by a task of its own.
     """
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("length").alias("bytes"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    from evenhand.sources.digests import FileDigests
+
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").load(path)
 
 
 def write_manifest(found: DataFrame, path: str) -> None:
@@ -131,6 +135,37 @@ def misplaced(df: DataFrame, file: str = "_metadata.file_name", pattern: str = r
     return df.where(odd).agg(F.count("*").alias("misplaced"))
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, column) of the columns of each Parquet file of a folder, from their footers, a task per file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")  # the content is not read
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+                with system.open_input_file(place) as source:
+                    names = pq.read_schema(source).names
+                n = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array([place.rpartition("/")[2]] * n), pa.array(range(1, n + 1), pa.int32()), pa.array(names, pa.string())], ["file", "place", "column"])
+
+    return files.mapInArrow(read, "file string, place int, column string")
+
+
+def columns_on_one_side(found: DataFrame) -> DataFrame:
+    """(column, files): columns that some of the files of ``headers`` lack."""
+    total = found.agg(F.countDistinct("file").alias("total"))
+    each = found.groupBy("column").agg(F.countDistinct("file").alias("files"))
+    return each.crossJoin(F.broadcast(total)).where("files < total").select("column", "files")  # one row
+
+
+def bucketed(df: DataFrame, name: str, buckets: int = 16, by: str = "lei") -> DataFrame:
+    """``df`` saved as a catalog table in buckets of ``by``, sorted in each: work per ``by`` needs no shuffle of it."""
+    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).format("parquet").saveAsTable(name)
+    return from_catalog(df.sparkSession, name)
+
+
 def from_catalog(spark: SparkSession, name: str) -> DataFrame:
     """A table by its (up to three-part) catalog name."""
     return spark.table(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +98,15 @@ def loan_to_income() -> Column:
     return F.when(F.abs(ratio) < float("inf"), ratio)
 
 
+#: Nodes of the normal density's integral over a unit range, and their weights.
+NODES = tuple(zip(*(x.tolist() for x in ((np.polynomial.legendre.leggauss(32)[0] + 1) / 2, np.polynomial.legendre.leggauss(32)[1] / 2)), strict=True))
+
+
 def normal_tail(z: Column) -> Column:
-    """0.5 * (1 - erf(z / sqrt 2)), by a rational approximation with an absolute error below 7.5e-8."""
-    x = F.abs(z)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-x * x / 2.0) * F.lit(0.3989422804014327) * poly
+    """0.5 * (1 - erf(z / sqrt 2)): the density integrated from 0 to |z| at 32 Gauss-Legendre nodes; the absolute error is below 1e-12."""
+    x = F.least(F.abs(z), F.lit(9.0))
+    area = sum((F.exp(x * x * (-t * t / 2)) * w for t, w in NODES), F.lit(0.0))
+    upper = F.greatest(0.5 - x * area * 0.3989422804014327, F.lit(0.0))
     return F.when(z >= 0, upper).otherwise(1.0 - upper)
 
 

@@ -240,7 +240,8 @@ def controlled_disparity(df: DataFrame, group: str = "derived_race", reference:
     The reference is the least-denied group above the floor unless named;
     groups below the floor keep their row without gaps.  Beside gaps on race
     stands the share of applications that report none, null for other groups.
-    The cleaned rows are persisted once for all fits.
+    All groups' fits go side by side by Newton steps; the reference's rows are
+    there once for each of them.
     """
     df = keep(df, "not_purchased").select("action_taken", "income", "loan_to_value_ratio", "debt_to_income_ratio", "loan_purpose", "lien_status", group).persist()
     rates = {r["v"]: (r["n"], r["d"] / r["n"]) for r in df.groupBy(F.col(group).alias("v")).agg(F.count("*").alias("n"), F.sum(denied()).alias("d")).collect()}
@@ -251,10 +252,16 @@ def controlled_disparity(df: DataFrame, group: str = "derived_race", reference:
         reference = min(eligible, key=lambda v: (rates[v][1], v))
     total = sum(n for n, _ in rates.values())
     unknown = rates.get("Race Not Available", (0, 0))[0] / total if group == "derived_race" and total else None
+    others = sorted(v for v in eligible if v != reference)
+    gaps = {}
+    if others:
+        own = F.when(F.col(group) == reference, F.array(*map(F.lit, others))).otherwise(F.array(F.col(group)))
+        two = df.where(F.col(group).isin(reference, *others)).select("*", F.explode(own).alias("_by"), (F.col(group) != reference).cast("double").alias("_g"))
+        gaps = {r[0]: r[1] for r in _newton_gaps(two, 8).collect()}  # a row per group
     rows = []
     for v, (n, r) in sorted(rates.items(), key=lambda x: str(x[0])):
-        ok = v in eligible and v != reference
-        rows.append((v, n, 100 * (r - rates[reference][1]) if ok else None, controlled_gap(df, group, v, reference) if ok else None, reference, "REFERENCE" if v == reference else "OK" if ok else "SUPPRESSED", unknown))
+        ok = v in others
+        rows.append((v, n, 100 * (r - rates[reference][1]) if ok else None, gaps.get(v) if ok else None, reference, "REFERENCE" if v == reference else "OK" if ok else "SUPPRESSED", unknown))
     df.unpersist()
     return df.sparkSession.createDataFrame(rows, "group_value string, applications long, raw_gap_pp double, controlled_gap_pp double, reference_group string, status string, race_not_reported_share double")
 
@@ -278,9 +285,14 @@ def grouped_gaps(df: DataFrame, by: str, group: str, value: str, reference: str,
     its coefficient stays 0, as if it were absent.  Null where a control has
     no usable value; 0 where only one outcome occurs.
     """
-    numeric = {"income": number_or_null("income", 1000.0), "loan_to_value_ratio": number_or_null("loan_to_value_ratio"), "debt_to_income_ratio": debt_to_income_midpoint()}
     two = df.where(F.col(group).isin(value, reference) & F.col(by).isNotNull())
-    two = two.select(F.col(by).alias("_by"), denied().cast("double").alias("_y"), (F.col(group) == value).cast("double").alias("_g"), *(c.cast("double").alias(f"_{n}") for n, c in numeric.items()), category("loan_purpose").alias("_purpose"), category("lien_status").alias("_lien"))
+    return _newton_gaps(two.select("*", F.col(by).alias("_by"), (F.col(group) == value).cast("double").alias("_g")), rounds).withColumnRenamed("_by", by)
+
+
+def _newton_gaps(rows: DataFrame, rounds: int) -> DataFrame:
+    """(_by, controlled_gap_pp) of the register's rows with ``_by`` and ``_g``, 1 for the group and 0 for its reference."""
+    numeric = {"income": number_or_null("income", 1000.0), "loan_to_value_ratio": number_or_null("loan_to_value_ratio"), "debt_to_income_ratio": debt_to_income_midpoint()}
+    two = rows.select("_by", "_g", denied().cast("double").alias("_y"), *(c.cast("double").alias(f"_{n}") for n, c in numeric.items()), category("loan_purpose").alias("_purpose"), category("lien_status").alias("_lien"))
     two = written(two)
     levels_ = two.groupBy("_by").agg(F.count("*").alias("_n"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"), F.min("_purpose").alias("_purpose0"), F.min("_lien").alias("_lien0"), *(F.count(f"_{n}").alias(f"_c_{n}") for n in numeric))
     long = two.select("_by", F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(f"_{n}").alias("_v")) for n in numeric))))
@@ -329,7 +341,7 @@ def grouped_gaps(df: DataFrame, by: str, group: str, value: str, reference: str,
     apart = F.when(s.isNull(), 0.0).otherwise(sig(F.col("_rest") + w * (1 - m) / s) - sig(F.col("_rest") - w * m / s))
     gaps = rows.join(fits.join(scale.drop("_n"), "_by"), "_by").withColumn("_rest", rest).groupBy("_by").agg((100.0 * F.avg(apart)).alias("_gap"))
     whole = levels_.where(usable).join(gaps, "_by", "left")
-    return whole.select(F.col("_by").alias(by), F.when(F.col("_y0") == F.col("_y1"), 0.0).otherwise(F.col("_gap")).alias("controlled_gap_pp"))
+    return whole.select("_by", F.when(F.col("_y0") == F.col("_y1"), 0.0).otherwise(F.col("_gap")).alias("controlled_gap_pp"))
 
 
 def eligible_groups(df: DataFrame, group: str, floor: int = 100) -> DataFrame:

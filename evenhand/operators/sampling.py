@@ -107,3 +107,19 @@ def order_statistics(df: DataFrame, value: Column, places: dict[str, float], by:
         return F.when(low == high, low).otherwise((1.0 - share) * low + share * high).alias(n)
 
     return found.select(*(F.col(f"_k.`{c}`").alias(c) for c in by), F.col("_all").alias("n"), *(between(n) for n in places))
+
+
+def places(df: DataFrame, value: str, tie: str, name: str = "place") -> DataFrame:
+    """``df`` with each row's place by ``value``, the greatest first and ties by the lesser ``tie``.
+
+    Rows are ranked within ranges of magnitude (1,024 to a doubling); running
+    counts of the ranges carry the places on, so no task ranks all rows.
+    Missing values come last.
+    """
+    size = F.floor(F.least(F.log2(1.0 + F.abs(value)), F.lit(2000.0)) * 1024) * F.signum(value)
+    rows = df.withColumn("_part", F.coalesce(size.cast("bigint"), F.lit(-(1 << 40))))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(F.col(value).desc_nulls_last(), tie)
+    return rows.join(parts, "_part").withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_part", "_before")

@@ -67,3 +67,30 @@ def test_groups_stay_beside_their_rows(apps):
     train, test, _ = model.prepared(apps, 2000)
     both = model.scores(model.logistic(train, train.count()), test).select("app_id", "g", "score").join(apps.select("app_id", "derived_race"), "app_id")
     assert both.count() == test.count() and both.where("not g <=> derived_race").count() == 0
+
+
+def test_groups_at_once_equal_single_fits(apps):
+    rows = keep(apps, "not_purchased")
+    found = model.controlled_disparity(apps).collect()
+    assert sum(r["status"] == "OK" for r in found) >= 3
+    for r in found:
+        if r["status"] == "OK":
+            one = model.controlled_gap(rows, "derived_race", r["group_value"], r["reference_group"])
+            assert r["controlled_gap_pp"] == pytest.approx(one, abs=1e-3)
+        else:
+            assert r["controlled_gap_pp"] is None
+
+
+def test_tail_and_places(spark):
+    import math
+
+    from evenhand.functions.clean import normal_tail
+    from evenhand.operators.sampling import places
+
+    z = [-9.5, -3.0, -0.1, 0.0, 0.5, 1.96, 4.0, 6.0, 12.0]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", normal_tail(F.col("z")).alias("t")).collect():
+        assert r["t"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), abs=1e-12)
+    values = [(f"k{i}", None if i % 50 == 0 else float((i * 37) % 11) - 5) for i in range(400)]
+    got = {r["k"]: r["place"] for r in places(spark.createDataFrame(values, "k string, v double"), "v", "k").collect()}
+    order = sorted(values, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert got == {k: i for i, (k, _) in enumerate(order, 1)}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -344,6 +346,39 @@ def _newton_gaps(rows: DataFrame, rounds: int) -> DataFrame:
     return whole.select("_by", F.when(F.col("_y0") == F.col("_y1"), 0.0).otherwise(F.col("_gap")).alias("controlled_gap_pp"))
 
 
+def logistic_fits(rows: DataFrame, fits: list[str], rounds: int = 10) -> dict[str, np.ndarray]:
+    """Intercept and weights of ``logistic`` for each name of ``fits``, side by side by Newton steps.
+
+    ``rows`` has ``fit`` (a name), ``x`` (an array, scaled) and ``y``.  Tasks
+    add up X'WX and X'(y - p) of their rows by name; what they give is summed
+    by cell, so a step is one job and the driver gets a matrix for each name.
+    """
+    d = len(rows.select("x").first()["x"]) + 1
+    weights = {f: np.zeros(d) for f in fits}
+    penalty = np.r_[0.0, np.ones(d - 1)]
+    rows = written(rows.select("fit", "x", F.col("y").cast("double").alias("y")))
+    for _ in range(rounds):
+
+        def step(batches: Iterator[pa.RecordBatch], weights=dict(weights)) -> Iterator[pa.RecordBatch]:  # noqa: B006
+            sums: dict[str, np.ndarray] = {}
+            for b in batches:
+                names = np.array(b.column(0).to_pylist(), object)
+                x = np.c_[np.ones(b.num_rows), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d - 1)]
+                y = b.column(2).to_numpy(zero_copy_only=False)
+                for f in set(names):
+                    mine = x[names == f]
+                    p = 1.0 / (1.0 + np.exp(-mine @ weights[f]))
+                    found = np.c_[(mine * (p * (1 - p))[:, None]).T @ mine, mine.T @ (y[names == f] - p)]
+                    sums[f] = sums.get(f, 0) + found
+            for f, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([f] * v.size), pa.array(range(v.size), pa.int32()), pa.array(v.ravel())], ["fit", "cell", "v"])
+
+        for name, cells in rows.mapInArrow(step, "fit string, cell int, v double").groupBy("fit", "cell").agg(F.sum("v").alias("v")).groupBy("fit").agg(F.array_sort(F.collect_list(F.struct("cell", "v")))).collect():
+            found = np.array([c["v"] for c in cells]).reshape(d, d + 1)
+            weights[name] = weights[name] + np.linalg.solve(found[:, :d] + np.diag(penalty), found[:, d] - penalty * weights[name])
+    return weights
+
+
 def eligible_groups(df: DataFrame, group: str, floor: int = 100) -> DataFrame:
     return df.groupBy(F.col(group).alias("group_value")).agg(F.count("*").alias("n")).where((F.col("n") >= floor) & ~F.col("group_value").isin(*NO_GROUP))
 

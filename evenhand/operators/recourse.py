@@ -306,6 +306,44 @@ def race_probe(rows: DataFrame, key: str = "app_id") -> DataFrame:
     return rows.sparkSession.createDataFrame(found, "what string, auc double")
 
 
+def probe_runs(rows: DataFrame, seeds: tuple[int, ...] = (0, 1, 2), key: str = "app_id") -> DataFrame:
+    """(what, seed, auc): ``race_probe`` for several seeds, each with its own half and its own labels paired anew.
+
+    All fits go side by side, and so do all measures.
+    """
+    from evenhand.operators import model as M
+    from evenhand.operators.sampling import exact_auc
+
+    labels = {("inputs", s): F.col("y") for s in seeds} | {("shuffled", s): F.col(f"shuffled_{s}") for s in seeds}
+    for s in seeds:
+        rows = repaired_labels(rows, "y", key, f"shuffled_{s}", s)
+    half = {s: F.pmod(F.xxhash64(key, F.lit("half" if s == 0 else f"half{s}")), F.lit(2)) for s in seeds}
+    looks = F.array(*(F.struct(F.lit(what).alias("what"), F.lit(s).alias("seed"), y.cast("double").alias("label"), half[s].alias("half")) for (what, s), y in labels.items()))
+    kept_ = [c for c in ("y", "denial_score") if c in rows.columns]
+    rows = written(rows.select(key, *kept_, vector_to_array("features").alias("x"), looks.alias("looks")))
+    long = rows.select("x", F.inline("looks")).withColumn("fit", F.concat_ws(":", "what", "seed"))
+    names = [f"{what}:{s}" for what, s in labels]
+    fits = M.logistic_fits(long.where("half = 0").select("fit", "x", F.col("label").alias("y")), names)
+    weights = F.create_map(*(c for n in names for c in (F.lit(n), F.array(*(F.lit(float(v)) for v in fits[n])))))
+    w = F.col("w")
+    margin = F.aggregate(F.zip_with("x", F.slice(w, 2, F.size("x")), lambda a, b: a * b), F.get(w, F.lit(0)), lambda t, v: t + v)
+    scored = long.where("half = 1").withColumn("w", weights[F.col("fit")]).select("what", "seed", (1.0 / (1.0 + F.exp(-margin))).alias("score"), F.col("label").cast("int").alias("y"))
+    found = exact_auc(scored, "score", "y", ("what", "seed")).select("what", "seed", "auc")
+    if "denial_score" in kept_:
+        alone = exact_auc(rows.select("denial_score", F.col("y").cast("int").alias("y")), "denial_score", "y").select("auc")
+        found = found.unionByName(alone.select(F.lit("denial_score").alias("what"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"), "auc"))
+    return found
+
+
+def probe_summary(runs: DataFrame) -> DataFrame:
+    """(what, mean, sd, low, high) over seeds, and of the inputs' lead over the labels paired anew, seed by seed."""
+    from evenhand.operators.profile import summary_over_seeds
+
+    pick = lambda what: F.max(F.when(F.col("what") == what, F.col("auc")))
+    lead = runs.groupBy("seed").agg((pick("inputs") - pick("shuffled")).alias("auc")).select(F.lit("inputs - shuffled").alias("what"), "seed", "auc")
+    return summary_over_seeds(runs.select("what", "seed", "auc").unionByName(lead), "what", "auc")
+
+
 def network_probe(model, rows: DataFrame, layers: list[int], seed: int = 0, key: str = "app_id") -> DataFrame:
     """(what, auc) over a network's layers: inputs, both hidden layers, an untrained network's second, paired-anew labels, the score.
 

@@ -958,6 +958,13 @@ def _(df):
     return P.summary_over_seeds(paired, "technique", "v")
 
 
+@query("r23_probe_runs")
+def _(df):
+    train, test, _ = M.prepared(df, 2000)
+    rows = M.scores(M.logistic(train, train.count()), test).withColumnRenamed("score", "denial_score")
+    return R.probe_summary(R.probe_runs(rows.withColumn("y", (F.col("g") == "BUILDING").cast("double"))))
+
+
 @query("r23_top_counts", "+ runs as (select state_code as feature, activity_year as seed, avg(cast(action_taken='3' as double)) - 0.25 as v from app group by 1, 2), k as (select *, row_number() over (partition by seed order by round(abs(v), 9) desc, feature) as place from runs) select feature, count(*) as runs, count(*) filter (where place <= 5) as top, round(avg(v), 6) as mean from k group by 1")
 def _(df):
     runs = df.groupBy(F.col("state_code").alias("feature"), F.col("activity_year").alias("seed")).agg(F.round(F.avg(C.denied()) - 0.25, 9).alias("v"))

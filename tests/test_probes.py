@@ -75,3 +75,24 @@ def test_top_counts(spark):
     runs = spark.createDataFrame([("a", 1, 3.0), ("b", 1, -4.0), ("c", 1, 1.0), ("a", 2, 1.0), ("b", 2, 1.0), ("c", 2, None)], "name string, seed int, v double")
     found = {r["name"]: (r["runs"], r["top"], r["mean"]) for r in recourse.top_counts(runs, "name", "v", k=1).collect()}
     assert found == {"a": (2, 1, 2.0), "b": (2, 1, -1.5), "c": (2, 0, 1.0)}
+
+
+def test_probe_runs_side_by_side_equal_single_probes(rows):
+    scored = rows.withColumn("denial_score", F.lit(0.25) + F.col("y") / 2)
+    runs = recourse.probe_runs(scored, (0, 1))
+    got = {(r["what"], r["seed"]): r["auc"] for r in runs.collect()}
+    one = {r["what"]: r["auc"] for r in recourse.race_probe(scored).collect()}
+    assert {w for w, _ in got} == set(one)
+    for what in one:
+        assert got[what, 0] == pytest.approx(one[what], abs=2e-3)
+    assert got["inputs", 1] > 0.95 and abs(got["shuffled", 1] - 0.5) < 0.12 and got["shuffled", 1] != got["shuffled", 0]
+    found = {r["what"]: r for r in recourse.probe_summary(runs).collect()}
+    assert found["inputs - shuffled"]["mean"] == pytest.approx(sum(got["inputs", s] - got["shuffled", s] for s in (0, 1)) / 2, abs=1e-4)
+    assert found["denial_score"]["low"] == found["denial_score"]["high"] == 1.0
+
+
+def test_fits_side_by_side_equal_the_logistic_model(rows):
+    long = rows.select(F.lit("a").alias("fit"), vector_to_array("features").alias("x"), "y").union(rows.select(F.lit("b"), vector_to_array("features"), 1 - F.col("y")))
+    fits = model.logistic_fits(long, ["a", "b"])
+    fit = model.logistic(rows, 600)
+    assert np.allclose(fits["a"], np.r_[fit.intercept, fit.coefficients.toArray()], atol=2e-4) and np.allclose(fits["a"], -fits["b"], atol=1e-8)

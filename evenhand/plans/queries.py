@@ -126,6 +126,16 @@ def _(df):
     return table.withColumns({"third_run": F.lit(third).cast("bigint"), "set_aside": F.lit(aside).cast("bigint")})
 
 
+@query("s10_misplaced_by_file", " select place, count(*) as rows, count(*) filter (where activity_year <> right(place, 4)) as misplaced from (select activity_year, state_code || '_' || case when state_code < 'S10' then '1995' else activity_year end as place from app) group by 1")
+def _(df):
+    # Folders by state and year, as files arrive; some states put all their years into one.
+    year = F.when(F.col("state_code") < "S10", "1995").otherwise(F.col("activity_year"))
+    root = f"{shared_dir(df.sparkSession)}/places-{uuid.uuid4().hex}"
+    rows = df.select("state_code", "activity_year", F.concat_ws("_", "state_code", year).alias("place"))
+    rows.repartition("place").write.partitionBy("place").parquet(root)
+    return src.misplaced_by_file(df.sparkSession.read.parquet(root))
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES["s7_headers"] = lambda spark, sf_dir: src.headers(spark, sf_dir)
 SQL["s7_headers"] = f"select table_name || '.parquet' as file, cast(ordinal_position as int) as place, column_name as \"column\" from information_schema.columns where table_name in {TABLES}"

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns an audit needs (fixed values).
@@ -135,6 +135,19 @@ def misplaced(df: DataFrame, file: str = "_metadata.file_name", pattern: str = r
     return df.where(odd).agg(F.count("*").alias("misplaced"))
 
 
+def misplaced_by_file(df: DataFrame, path: Column | None = None, pattern: str = r"([A-Z0-9]{2,3})_(\d{4})") -> DataFrame:
+    """(place, rows, misplaced) for each state and year that file paths name: rows in all, and rows of another state or year.
+
+    The path is the hidden column of the scan; a path that names neither has
+    an empty place, and all its rows are misplaced.  One map-side combined count.
+    """
+    path = F.col("_metadata.file_path") if path is None else path
+    state, year = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
+    place = F.regexp_extract(path, pattern, 0)
+    odd = ~(state.eqNullSafe(F.col("state_code")) & year.eqNullSafe(F.col("activity_year")))
+    return df.groupBy(place.alias("place")).agg(F.count("*").alias("rows"), F.count_if(odd).alias("misplaced"))
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(file, place, column) of the columns of each Parquet file of a folder, from their footers, a task per file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")  # the content is not read

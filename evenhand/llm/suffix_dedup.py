@@ -274,8 +274,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(row, id, t): a number per row that any task can compute again.
 
-    The hash of key and text tells rows apart; rows alike in both are told
-    apart by a count, which needs only those rows' hashes.
+    It is the hash of key and text; rows alike in both share a number, and
+    with it their ranges, which are the same.
     """
     return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key).alias("id"), F.col(text).alias("t"))
 

@@ -843,7 +843,7 @@ MEASURE = DEMO + f", e as (select g from demo group by g having count(*) >= 100
 
 
 def _measured(df):
-    rows = demo_scores(df)
+    rows = written(demo_scores(df))  # for the groups, the counts and the median
     return T.measure(T.decide(rows, 0.75), "cut", M.eligible_groups(rows.withColumnRenamed("g", "gv"), "gv"))
 
 

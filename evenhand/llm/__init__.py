@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over a table of documents.
+"""Training-data operators: thirteen Spark jobs over a table of documents.
 
 Nothing outside this subpackage, ``tests/llm`` and ``corpus_pipeline.py``
 imports it.  Tables are read with Spark only, wide intermediate results are

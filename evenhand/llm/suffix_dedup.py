@@ -1,19 +1,20 @@
-"""Suffix-array dedup by sparse prefix doubling: bytes that lie in a repeated string of 400 bytes.
-
-Ranking every position of the corpus at every offset is more than is needed.
-A 400-byte string has a least 32-byte seed, at the same place wherever it
-occurs, so only these anchor positions are ranked; each owns the window starts
-whose least seed it is.  Rounds rank anchor positions by growing stretches:
-
-* the seed alone (32 bytes): anchors with a unique seed are past;
-* blocks of window starts around it, ranked by the pair (what all windows of
-  the block share, what they span): a block with a unique core is past, one
-  with a repeated span is repeated as a whole, the rest is halved twice and
-  ranked again, down to single windows of the full 400 bytes.
-
-Spark counts the ranks with map-side combining, so a passage that a third of
-the documents hold costs one row per task.  Strings are compared by 64-bit
-hashes under their anchor's 64-bit hash.
+"""Suffix-array dedup by prefix doubling: bytes that lie in a repeated string of 400 bytes.
+
+Spark sorts the positions of all texts by pairs of ranks: that of the string
+of h bytes at a position and that of the string at the offset h.  The pair's
+rank in that order is the rank of 2 h bytes.  A position whose pair is unique
+is past and leaves; what is left at 400 bytes is repeated.
+
+* Equal texts are one text and its number of copies; where there are copies,
+  every string of it is repeated, and it is ranked for the other texts' sake.
+* A 400-byte string has a least 32-byte seed, at the same place wherever it
+  occurs.  Only positions under windows whose seed is repeated are ranked.
+* The first rank is that of the hashes of FIRST bytes.
+
+Ranks are given to distinct pairs, counted with map-side combining.  Pairs that
+more than one in HOT positions have (at most HOT) are broadcast when positions
+look up their ranks, so a passage that a third of the texts hold stays where
+it is.  Texts are told apart by 128 bits, strings by 64 at the first rank.
 """
 
 from __future__ import annotations
@@ -23,18 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import if_small, written
-from .textarrays import P, U, Block, blocks, column, mix, prefix, span
+from .textarrays import U, Block, blocks, column, prefix, span
 
 LENGTH = 400
 SEED = 32
+#: Bytes of the first rank; LENGTH is this times a power of two.
+FIRST = 100
 #: Window starts that one sliding minimum takes, and the bits for a place among them.
 SEGMENT, PLACE = 1 << 23, U((1 << 24) - 1)
-#: Window starts in a block, by round.
-BLOCKS = (64, 16, 4, 1)
+#: A key is hot if more than one in HOT rows has it; so there are at most HOT of them.
+HOT = 1_000
+#: Positions in an Arrow batch.
+BATCH = 1 << 16
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -83,132 +88,86 @@ def anchors(block: Block, sums: np.ndarray, length: int = LENGTH, seed: int = SE
     return doc[new], pos[new], lo[new], hi[last], hashes[new]
 
 
-def block_ranks(sums: np.ndarray, base: np.ndarray, size: np.ndarray, seed: np.ndarray, pos: np.ndarray, number: np.ndarray, width: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, core, whole) of blocks of window starts.
-
-    Block ``number`` of an anchor has the starts pos - (number + 1) * width + 1
-    to pos - number * width.  The core is what all those windows share and is
-    always inside the document; the whole is what they span, and where the
-    document cuts it short, the cut counts as part of it.
-    """
-    high = pos - number * width
-    low = high - width + 1
-    a, b = np.maximum(low, 0), np.minimum(high, size - length)
-    core = span(sums, base + high, base + low + length)
-    whole = mix(span(sums, base + a, base + b + length) ^ ((a - low) * 1024 + (high - b)).astype(np.uint64))
-    key = mix(mix(seed.view(np.uint64) + U(P)) ^ (number * 1024 + width).astype(np.uint64))
-    return key, core, whole
-
-
-def _split(numbers: np.ndarray, wide: int, narrow: int) -> np.ndarray:
-    k = wide // narrow
-    return (numbers[:, None] * k + np.arange(k)[None, :]).ravel()
+def _hot_and_cold(groups: DataFrame, n: str) -> tuple[DataFrame, DataFrame]:
+    """Groups (a written table that counts their rows in ``n``): the hot ones, to be broadcast, and the rest."""
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    return F.broadcast(groups.where(hot)), groups.where(~hot)
 
 
-ROW = "id long, pos int, lo int, hi int, seed long, number int, key long, core long, whole long"
+def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (a written table) whose keys occur more than once, with the keys' rank among such keys in place of the keys."""
+    kinds = rows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1")
+    # Numbers by partition and place in it: they grow with the keys, whose ranges the partitions are.
+    ranks = written(kinds.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("number", F.monotonically_increasing_id()))
+    hot, cold = _hot_and_cold(ranks, "n")
+    looked_up = rows.join(hot.select(keys), keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))
+    return looked_up.drop("n", *keys).withColumnRenamed("number", "rank")
 
 
-def _emit(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    names = [f.split()[0] for f in ROW.split(", ")]
-    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)], names)
+def _texts(docs: DataFrame) -> DataFrame:
+    """(row, digest, t, size, copies): each text of LENGTH bytes or more once."""
+    long = docs.where(F.octet_length("t") >= LENGTH).select("digest", "t")
+    each = long.groupBy("digest").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
+    return written(each.select("*", F.octet_length("t").alias("size"), F.monotonically_increasing_id().alias("row")))
 
 
-def _ranked(sums: np.ndarray, block: Block, doc: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray, number: np.ndarray, width: int, ids: np.ndarray) -> list[np.ndarray]:
-    base, size = block.at[doc], np.diff(block.at)[doc]
-    low = np.maximum(pos - (number + 1) * width + 1, 0)
-    high = np.minimum(pos - number * width, size - LENGTH)
-    ok = (high >= low) & (low <= hi) & (high >= lo)  # holds a start that the anchor owns
-    doc, pos, lo, hi, seed, number, base, size = (x[ok] for x in (doc, pos, lo, hi, seed, number, base, size))
-    key, core, whole = block_ranks(sums, base, size, seed, pos, number, width)
-    return [ids[doc], pos, lo, hi, seed, number, key.view(np.int64), core.view(np.int64), whole.view(np.int64)]
-
-
-def _first_round(docs: DataFrame, known) -> DataFrame:
-    """Blocks of every anchor whose seed is in ``known`` (sorted hashes, or None for all)."""
-    width = BLOCKS[0]
+def _stretches(texts: DataFrame) -> DataFrame:
+    """(row, lo, hi, seed): window starts lo..hi of a text and the least seed that they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = None if known is None else known.value
         for batch in batches:
             rows = np.array(column(batch, "row"))
             for block in blocks(column(batch, "t")):
-                sums = prefix(block.data)
-                doc, pos, lo, hi, seed = anchors(block, sums)
-                if seeds is not None and len(seed):
-                    near = np.minimum(np.searchsorted(seeds, seed), max(len(seeds) - 1, 0))
-                    ok = seeds[near] == seed if len(seeds) else np.zeros(len(seed), bool)
-                    doc, pos, lo, hi, seed = (x[ok] for x in (doc, pos, lo, hi, seed))
-                n = LENGTH // width + 1
-                number = np.tile(np.arange(n), len(doc))
-                doc, pos, lo, hi, seed = (np.repeat(x, n) for x in (doc, pos, lo, hi, seed))
-                yield _emit([[x] for x in _ranked(sums, block, doc, pos, lo, hi, seed, number, width, rows[block.first : block.first + block.docs])])
-
-    return docs.mapInArrow(run, ROW)
-
+                doc, _, lo, hi, seed = anchors(block, prefix(block.data))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[block.first + doc]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(seed)], ["row", "lo", "hi", "seed"])
 
-def _next_round(docs: DataFrame, live: DataFrame, wide: int, narrow: int) -> DataFrame:
-    """Blocks of ``narrow`` starts within the live ones of ``wide``."""
-    per_doc = written(live.groupBy("id").agg(F.collect_list(F.struct("pos", "lo", "hi", "number")).alias("live")))
-    rows = docs.join(if_small(per_doc), docs["row"] == per_doc["id"]).select("row", "t", "live")
+    return texts.select("row", "t").mapInArrow(run, "row long, lo int, hi int, seed long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, held = np.array(column(batch, "row")), column(batch, "live")
-            for block in blocks(column(batch, "t")):
-                sums = prefix(block.data)
-                part = held.slice(block.first, block.docs)
-                flat = part.flatten()
-                doc = np.repeat(np.arange(block.docs), [len(x) for x in part])
-                pos, lo, hi, number = (np.array(flat.field(i)).astype(np.int64) for i in range(4))
-                k = wide // narrow
-                number = _split(number, wide, narrow)
-                seed = span(sums, block.at[doc] + pos, block.at[doc] + pos + SEED).view(np.int64)
-                doc, pos, lo, hi, seed = (np.repeat(x, k) for x in (doc, pos, lo, hi, seed))
-                yield _emit([[x] for x in _ranked(sums, block, doc, pos, lo, hi, seed, number, narrow, ids[block.first : block.first + block.docs])])
-
-    return rows.mapInArrow(run, ROW)
 
+def _positions(texts: DataFrame, stretches: DataFrame, first: int) -> DataFrame:
+    """(row, pos, head): the positions that the windows of the stretches need, with the hash of ``first`` bytes."""
+    # A text's stretches are bounded by its own length.
+    per_text = written(stretches.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("live")))
+    rows = texts.select("row", "t").join(if_small(per_text), "row")
 
-def _repeated_seeds(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = np.array(column(batch, "row")), column(batch, "live")
             for block in blocks(column(batch, "t")):
-                seed = anchors(block, prefix(block.data))[4]
-                yield pa.RecordBatch.from_arrays([pa.array(seed)], ["seed"])
-
-    return docs.select("t").mapInArrow(run, "seed long").groupBy("seed").count().where("count > 1").select("seed")
-
-
-def repeated_windows(docs: DataFrame, most_seeds: int = 4_000_000) -> DataFrame:
-    """(id, first, last): runs of window starts of LENGTH bytes that also start elsewhere; ``docs`` has row and t."""
-    sc = docs.sparkSession.sparkContext
-    seeds = written(_repeated_seeds(docs))
-    if seeds.count() <= most_seeds:  # 8 bytes each
-        known = np.sort(np.array(seeds.toArrow()["seed"], dtype=np.int64))
-        blocks_of = _first_round(docs, sc.broadcast(known))
-    else:
-        blocks_of = _first_round(docs, None).join(seeds, "seed")
-    found = []
-    for i, width in enumerate(BLOCKS):
-        ranked = written(blocks_of)
-        own = F.min(F.struct("id", "pos", "lo", "hi", "number")).alias("own")
-        wholes = written(ranked.groupBy("key", "core", "whole").agg(F.count("*").alias("same"), own))
-        repeated = wholes.where("same > 1").select("key", "core", "whole")
-        found.append(ranked.join(repeated, ["key", "core", "whole"], "left_semi").select("id", "pos", "number", F.lit(width).alias("width")))
-        if i + 1 == len(BLOCKS):
-            break
-        # The next round needs a shared core that has more than one whole: one block of each whole
-        # stands for all its copies, which are past already.
-        cores = wholes.groupBy("key", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", "core")
-        live = wholes.join(cores, ["key", "core"], "left_semi").select("own.*")
-        blocks_of = _next_round(docs, live, width, BLOCKS[i + 1])
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    last = F.col("pos") - F.col("number") * F.col("width")
-    return out.select("id", F.greatest(last - F.col("width") + 1, F.lit(0)).alias("first"), last.alias("last"))
+                sums, live = prefix(block.data), held.slice(block.first, block.docs)
+                doc = np.repeat(np.arange(block.docs), [len(x) for x in live])
+                lo, hi = (np.array(live.flatten().field(i)).astype(np.int64) + block.at[doc] for i in range(2))
+                a, b = _runs(lo, hi + LENGTH - first + 1)
+                n = b - a
+                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                for s in range(0, len(at), BATCH):
+                    pos = at[s : s + BATCH]
+                    own = np.searchsorted(block.at, pos, side="right") - 1
+                    head = span(sums, pos, pos + first).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[block.first + own]), pa.array((pos - block.at[own]).astype(np.int32)), pa.array(head)], ["row", "pos", "head"])
+
+    return rows.mapInArrow(run, "row long, pos int, head long")
+
+
+def _pairs(positions: DataFrame, offset: int) -> DataFrame:
+    """(row, pos, rank, ahead): positions with their rank and that at the offset, where there is one."""
+    # Positions of one remainder follow each other at the offset, so a long text is many groups.
+    along = Window.partitionBy("row", F.pmod("pos", F.lit(offset))).orderBy("pos")
+    paired = positions.withColumn("next", F.lead("pos").over(along)).withColumn("ahead", F.lead("rank").over(along))
+    return paired.where(F.col("next") == F.col("pos") + offset).drop("next")
+
+
+def repeated_windows(texts: DataFrame, first: int = FIRST) -> DataFrame:
+    """(row, first, last): maximal runs of starts of LENGTH bytes that also start elsewhere; ``texts`` has row and t, each text once."""
+    live = ranked(written(_stretches(texts)), ["seed"]).select("row", "lo", "hi")
+    positions, length = ranked(written(_positions(texts, live, first)), ["head"]), first
+    while length < LENGTH:
+        positions = ranked(written(_pairs(positions, length)), ["rank", "ahead"])
+        length *= 2
+    assert length == LENGTH, "LENGTH is the first length times a power of two"
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos"))
+    return positions.select("row", "pos", run.alias("run")).groupBy("row", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("run")
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,13 +179,19 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(ends) else ends
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    """(row, id, t, ranges): each row's byte ranges to remove, as start and end in turn."""
-    found = repeated_windows(docs.select("row", "t"))
-    # A document's ranges are bounded by its own length.
-    per_doc = found.distinct().groupBy(F.col("id").alias("_r")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    per_doc = written(per_doc)
-    return docs.join(per_doc, docs["row"] == per_doc["_r"], "left").drop("_r")
+def _with_ranges(docs: DataFrame, first: int = FIRST) -> DataFrame:
+    """``docs`` (with t and its digest) and ``ranges``: each row's runs of repeated window starts, null where none is."""
+    texts = _texts(docs.select("digest", "t"))
+    # A text's ranges are bounded by its own length.
+    found = repeated_windows(texts, first).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - LENGTH).alias("last")))
+    ranges = texts.drop("t").join(found, "row", "left").select("digest", "copies", F.when(F.col("copies") > 1, whole).otherwise(F.col("found")).alias("ranges"))
+    hot, cold = _hot_and_cold(written(ranges.where("ranges is not null")), "copies")
+    # Null and short texts have no ranges, however many are alike: they take no part in the shuffle.
+    short = F.coalesce(F.octet_length("t"), F.lit(0)) < LENGTH
+    apart = docs.join(hot, "digest", "left").where(short | F.col("copies").isNotNull())
+    rest = docs.where(~short).join(hot.select("digest"), "digest", "left_anti").join(cold, "digest", "left")
+    return apart.unionByName(rest).drop("digest", "copies")
 
 
 def _cut_points(ranges: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,15 +203,16 @@ def _cut_points(ranges: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
     return _runs(first, np.minimum(last, size - LENGTH) + LENGTH)
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", first: int = FIRST) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A byte goes if a 400-byte string over it also starts anywhere else, in the
     same document too; strings are judged on the input.  Null and empty texts
     have no bytes; equal texts, repeated rows included, are removed alike; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored.  ``first`` is the
+    length of the first rank, LENGTH divided by a power of two.
     """
-    rows = _numbered(docs, text, key)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.md5(text).alias("digest"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,19 +233,10 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 digest.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([column(batch, "id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = _with_ranges(rows).select("id", "t", "ranges").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = _with_ranges(rows, first).select("id", "t", "ranges").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", key)
 
 
-def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(row, id, t): a number per row that any task can compute again.
-
-    It is the hash of key and text; rows alike in both share a number, and
-    with it their ranges, which are the same.
-    """
-    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key).alias("id"), F.col(text).alias("t"))
-
-
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; a character cut in part goes as a whole.
 
@@ -287,7 +244,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     names = docs.columns
     clash = docs.withColumnsRenamed({c: f"_c_{c}" for c in names})
-    rows = clash.select(F.xxhash64(F.col(f"_c_{key}"), F.col(f"_c_{text}")).alias("row"), F.col(f"_c_{text}").alias("t"), *(f"_c_{c}" for c in names if c != text))
+    rows = clash.select(F.md5(F.col(f"_c_{text}")).alias("digest"), F.col(f"_c_{text}").alias("t"), *(f"_c_{c}" for c in names if c != text))
     marked = _with_ranges(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +263,6 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             k = batch.schema.get_field_index("t")
             yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type)).drop_columns(["ranges"])
 
-    schema = rows.schema
-    done = marked.select(*rows.columns, "ranges").mapInArrow(run, schema)
+    kept = rows.drop("digest")
+    done = marked.select(*kept.columns, "ranges").mapInArrow(run, kept.schema)
     return done.select(*(F.col("t" if c == text else f"_c_{c}").alias(c) for c in names))

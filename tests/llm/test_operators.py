@@ -172,7 +172,25 @@ def test_repeated_bytes(docs, rows):
                 m[k : k + 400] = b"\1" * 400
         kept = bytes(x for x, y in zip(b, m) if not y)
         want[(i, len(b), sum(m), sum(1 for k in range(len(m)) if m[k] and not (k and m[k - 1])), hashlib.sha256(kept).hexdigest())] += 1
-    assert Counter(map(tuple, suffix_dedup.repeated_bytes(docs).collect())) == want
+    for first in (25, 100):
+        assert Counter(map(tuple, suffix_dedup.repeated_bytes(docs, first=first).collect())) == want
+
+
+def test_ranks_grow_with_pairs_and_unique_ones_leave(spark):
+    t = "abcabcabd" + "xyz"
+    rows = spark.createDataFrame([(7, p, ord(c)) for p, c in enumerate(t)], "row long, pos int, head long")
+    of_two = suffix_dedup.ranked(suffix_dedup._pairs(suffix_dedup.ranked(rows, ["head"]), 1), ["rank", "ahead"])
+    found = sorted((r["pos"], t[r["pos"] : r["pos"] + 2], r["rank"]) for r in of_two.collect())
+    assert [(p, s) for p, s, _ in found] == [(0, "ab"), (1, "bc"), (2, "ca"), (3, "ab"), (4, "bc"), (5, "ca"), (6, "ab")]
+    by_rank = sorted({(k, s) for _, s, k in found})
+    assert [s for _, s in by_rank] == ["ab", "bc", "ca"]  # one rank a string, in the order of the strings
+
+
+def test_hot_and_cold_ranks_agree(spark, docs, monkeypatch):
+    want = Counter(map(tuple, suffix_dedup.repeated_bytes(docs).collect()))
+    for hot in (1, 1 << 40):  # all by the shuffle, all by the broadcast
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert Counter(map(tuple, suffix_dedup.repeated_bytes(docs).collect())) == want
 
 
 def test_anchors_do_not_depend_on_segments():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import if_small, written
+from .tables import bounded_batches, if_small, written
 from .textarrays import U, Block, blocks, column, prefix, span
 
 LENGTH = 400
@@ -181,6 +181,7 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _with_ranges(docs: DataFrame, first: int = FIRST) -> DataFrame:
     """``docs`` (with t and its digest) and ``ranges``: each row's runs of repeated window starts, null where none is."""
+    bounded_batches(docs.sparkSession)
     texts = _texts(docs.select("digest", "t"))
     # A text's ranges are bounded by its own length.
     found = repeated_windows(texts, first).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("found"))

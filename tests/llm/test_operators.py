@@ -222,6 +222,24 @@ def test_decontamination(spark, docs, rows):
     assert 0 not in kept and len(kept[3].split()) == 130 and kept[6] == rows[6][1]
 
 
+def test_one_window_in_many_items(spark):
+    passage = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(f"i{k}", passage) for k in range(5000)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {passage} it was"), (2, "nothing of the kind"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.digest(decontamination.contamination(docs, items)).collect()}
+    ids = ",".join(sorted(f"i{k}" for k in range(5000)))
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["items_sha256"]) == (10, 5000, hashlib.sha256(ids.encode()).hexdigest())
+    assert all((got[k]["n_hit"], got[k]["n_items"], got[k]["contaminated"]) == (0, 0, False) for k in (2, 3))
+
+
+def test_one_shingle_in_many_unlinked_documents(spark):
+    rows = [(i, "the same five words here " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(5000)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(20)]  # linked: 13 of 14 shingles
+    got = {r["doc_id"]: r for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 5020 and all(got[i]["component_id"] == i for i in range(5000))
+    assert all(got[5000 + i]["component_id"] == i for i in range(20)) and {r["n_shingles"] for r in got.values()} == {13, 14}
+
+
 def test_classifier_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 28))

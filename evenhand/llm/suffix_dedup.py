@@ -153,8 +153,9 @@ def _positions(texts: DataFrame, stretches: DataFrame, first: int) -> DataFrame:
 def _pairs(positions: DataFrame, offset: int) -> DataFrame:
     """(row, pos, rank, ahead): positions with their rank and that at the offset, where there is one."""
     # Positions of one remainder follow each other at the offset, so a long text is many groups.
-    along = Window.partitionBy("row", F.pmod("pos", F.lit(offset))).orderBy("pos")
-    paired = positions.withColumn("next", F.lead("pos").over(along)).withColumn("ahead", F.lead("rank").over(along))
+    along = Window.partitionBy("row", "part").orderBy("pos")
+    parted = positions.withColumn("part", F.pmod("pos", F.lit(offset)))  # a column, so both look-aheads share a shuffle
+    paired = parted.select("row", "pos", "rank", F.lead("pos").over(along).alias("next"), F.lead("rank").over(along).alias("ahead"))
     return paired.where(F.col("next") == F.col("pos") + offset).drop("next")
 
 

@@ -186,6 +186,37 @@ def test_ranks_grow_with_pairs_and_unique_ones_leave(spark):
     assert [s for _, s in by_rank] == ["ab", "bc", "ca"]  # one rank a string, in the order of the strings
 
 
+def test_positions_travel_as_runs(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    alphabet = np.frombuffer(b"abcdefgh ", np.uint8)
+    word = lambda n: rng.choice(alphabet, n).tobytes().decode()
+    passage = word(3000)
+    texts = [word(rng.integers(0, 300)) + passage[k * 37 : 3000 - k * 23] + word(rng.integers(0, 300)) for k in range(40)]
+    texts += [passage[:700] + "#" + passage[701:1500] + "#" + passage[1502:], "ab" * 600, "abc" * 500 + "x", "a" * 399, "a" * 400, "a" * 401, passage[:400], passage[:399]]
+    raws = [t.encode() for t in texts]
+    seen = Counter(b[k : k + 400] for b in raws for k in range(len(b) - 399))
+    want, positions = {}, 0
+    for i, b in enumerate(raws):
+        m = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                m[k : k + 400] = b"\1" * 400
+                positions += 1
+        want[i] = (len(b), sum(m), hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest())
+    stored = []
+    write = suffix_dedup.written
+
+    def counted(df):
+        out = write(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", counted)
+    got = suffix_dedup.repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+    assert max(stored) < positions / 5  # a row a position before
+
+
 def test_hot_and_cold_ranks_agree(spark, docs, monkeypatch):
     want = Counter(map(tuple, suffix_dedup.repeated_bytes(docs).collect()))
     for hot in (1, 1 << 40):  # all by the shuffle, all by the broadcast

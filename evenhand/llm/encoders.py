@@ -95,6 +95,12 @@ class WordPieces:
 #: Where pieces could reach over a space: white space on both of its sides, or before it at the end; and special tokens.
 WIDE_SPACE = re.compile(r"[\s\u180e] (?:[\s\u180e]|\Z)|<\|")
 
+#: Marks that are a piece of their own after a letter, and the first character that is not taken for a Latin letter.
+MARKS, BEYOND_LATIN = tuple(",.!?;:"), "\u0250"
+#: The characters that stand for bytes in a byte-level file: printable ones for themselves, the rest from U+0100 on.
+_hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SHOWN = {b: 256 + n for n, b in enumerate(_hidden)}
+
 
 class BytePieces:
     """Ids of a byte-level BPE file, a space-parted chunk at a time.
@@ -109,6 +115,7 @@ class BytePieces:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 16 bits are wanted")
         self.plain: dict[str, bytes] = {"": b""}
@@ -117,18 +124,28 @@ class BytePieces:
     def whole(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str, before: str) -> bytes:
+        """Letters are one piece, which goes to the library's BPE model at once."""
+        return array("H", [t.id for t in self.model.tokenize((before + word).encode().decode("latin-1").translate(SHOWN))]).tobytes()
+
     def chunk(self, chunk: str, before: str) -> bytes:
-        lines = chunk.split("\n")
-        if len(lines) == 1 or not all(x and x == x.strip() for x in lines):
-            return self.whole(before + chunk)
-        first = self.known(lines[0], before)
-        return first + b"".join(self.known("\n", "") + self.known(x, "") for x in lines[1:])
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            if not all(x and x == x.strip() for x in lines):
+                return self.whole(before + chunk)
+            first = self.known(lines[0], before)
+            return first + b"".join(self.known("\n", "") + self.known(x, "") for x in lines[1:])
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha() and max(chunk) < BEYOND_LATIN:
+            return self.known(chunk[:-1], before) + self.known(chunk[-1], "")
+        if chunk.isalpha() and max(chunk) < BEYOND_LATIN:
+            return self.word(chunk, before)
+        return self.whole(before + chunk)
 
     def known(self, chunk: str, before: str) -> bytes:
         cache = self.spaced if before else self.plain
         found = cache.get(chunk)
         if found is None:
-            found = self.chunk(chunk, before) if "\n" in chunk and chunk != "\n" else self.whole(before + chunk)
+            found = self.chunk(chunk, before)
             if len(chunk) <= CACHE_LENGTH:
                 cache[chunk] = found
         return found

@@ -76,8 +76,8 @@ class _Out:
     def nibble(self, i, sums, symbol):
         own = np.arange(0, 16 * len(symbol), 16) + symbol
         flat = sums.ravel()
-        high = flat[own].astype(np.int64)
-        low = np.where(symbol > 0, flat[own - 1], 0)
+        high = flat.take(own).astype(np.int64)
+        low = np.where(symbol > 0, flat.take(own - 1), 0)
         self.put(i, low, high - low, _floor(self.range[i], sums[:, 15]))
         return symbol
 
@@ -117,7 +117,7 @@ class _In:
         if len(small):
             lane = small if isinstance(i, slice) else i[small]
             where = self.at[lane]
-            code[small] = (code[small] << 16) | self.words[np.minimum(where, len(self.words) - 1)]
+            code[small] = (code[small] << 16) | self.words.take(where, mode="clip")
             self.at[lane] = where + 1
             range_[small] <<= 16
         self.code[i], self.range[i] = code, range_
@@ -136,8 +136,8 @@ class _In:
         symbol = (((below[:, 0] + below[:, 1]) * EACH_BYTE) >> TOP_BYTE).astype(np.int64)
         own = np.arange(0, 16 * len(symbol), 16) + symbol
         flat = sums.ravel()
-        low = np.where(symbol > 0, flat[own - 1], 0).astype(np.int64)
-        self.take(i, low, flat[own] - low, unit)
+        low = np.where(symbol > 0, flat.take(own - 1), 0).astype(np.int64)
+        self.take(i, low, flat.take(own) - low, unit)
         return symbol
 
     def more(self, t: int) -> None:
@@ -164,14 +164,14 @@ class _Model:
         dot = weight[0][i] * inputs[0]
         for k in range(1, len(inputs)):
             dot += weight[k][i] * inputs[k]
-        p = SQUASH[np.minimum(np.maximum((dot >> 16) + 2047, 0), 4094)]
+        p = SQUASH.take((dot >> 16) + 2047, mode="clip")
         bit = coder.bit(i, p, bit)
         error = ((bit.astype(np.int64) << BITS) - p) * 14
         for k, x in enumerate(inputs):
             weight[k][i] += (x * error) >> 10
         for table, at, right in cells:
-            old = table[at]
-            table[at] = old + ((np.where(bit == right, 65535, 0) - old) >> 5)
+            old = table.take(at) if isinstance(at, np.ndarray) else table[at]
+            table[at] = old + (((bit == right) * 65535 - old) >> 5)
         return bit
 
     def literal(self, coder, i, ids):
@@ -198,12 +198,12 @@ class _Model:
         two = self.base[s] + ((mixed ^ (mixed >> 15)) & (SLOTS - 1))
         mixed = (last * 0xC2B2AE35) & LOW32
         one = self.base[s] + ((mixed ^ (mixed >> 15)) & (SLOTS - 1))
-        slot2, slot1 = self.slots[0][two].astype(np.int64), self.slots[1][one].astype(np.int64)
+        slot2, slot1 = self.slots[0].take(two).astype(np.int64), self.slots[1].take(one).astype(np.int64)
         guess2, guess1 = slot2 >> 4, slot1 >> 4
         at2, at1 = self.sixteen[s] + (slot2 & 15), self.sixteen[s] + (slot1 & 15)
         agree = guess1 == guess2
-        witness = STRETCH[self.rate[1][at1] >> 4]
-        inputs = [STRETCH[self.rate[0][at2] >> 4], np.where(agree, witness, -witness), STRETCH[self.overall[0][s] >> 4]]
+        witness = STRETCH.take(self.rate[1].take(at1) >> 4)
+        inputs = [STRETCH.take(self.rate[0].take(at2) >> 4), np.where(agree, witness, -witness), STRETCH.take(self.overall[0][s] >> 4)]
         hit = self.tried(coder, 0, s, inputs, [(self.rate[0], at2, True), (self.rate[1], at1, agree), (self.overall[0], s, True)], None if ids is None else ids == guess2)
         found = guess2.copy()
         miss = np.flatnonzero(~hit)
@@ -212,7 +212,7 @@ class _Model:
             other = miss[agree[miss]]
             if len(second):
                 a = at1[second]
-                inputs = [STRETCH[self.rate[2][a] >> 4], STRETCH[self.overall[1][second] >> 4]]
+                inputs = [STRETCH.take(self.rate[2].take(a) >> 4), STRETCH.take(self.overall[1].take(second) >> 4)]
                 hit1 = self.tried(coder, 1, second, inputs, [(self.rate[2], a, True), (self.overall[1], second, True)], None if ids is None else ids[second] == guess1[second])
                 found[second] = guess1[second]
                 other = np.concatenate([other, second[~hit1]])
@@ -236,7 +236,7 @@ def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
         while lengths[n - 1] <= t:
             n -= 1
         coder.more(t)
-        found = model.step(coder, n, before[:n], last[:n], None if ids is None else ids[t, :n])
+        found = model.step(coder, n, before[:n], last[:n], None if ids is None else ids[t, :n].astype(np.int64))
         before[:n], last[:n] = last[:n], found
         out[t, :n] = found
     return out
@@ -245,7 +245,7 @@ def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """A payload per block of ids below 65,536.  Blocks must not be empty nor grow in length."""
     lengths = [len(b) for b in blocks]
-    ids = np.zeros((lengths[0], len(blocks)), np.int64)
+    ids = np.zeros((lengths[0], len(blocks)), np.uint16)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     coder = _Out(len(blocks), lengths[0])

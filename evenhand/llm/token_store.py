@@ -28,7 +28,7 @@ from .textarrays import column, tidy
 
 MARK = b"IDBLOCK1"
 #: Ids of a block, and blocks that are coded at once.
-BLOCK, AT_ONCE = 2048, 2048
+BLOCK, AT_ONCE = 2048, 4096
 END = 2
 TAIL = struct.Struct("<IIIQ8s")
 MANIFEST = "file int, path string, documents long, ids long, bytes long"

@@ -55,6 +55,15 @@ def test_chunks_equal_the_library():
         assert encoder.encode(t) == want, repr(t)
 
 
+def test_letters_and_marks_go_to_the_model_alone(monkeypatch):
+    encoder = BytePieces(vocabulary())
+    texts = ["Plain words, in a line. And\nmore; of them: here!", "élan ÿþß, ǅungla? naïve.", *(f"{a}{chr(c)}{b}" for c in range(0x41, 0x250) if chr(c).isalpha() for a, b in (("", ","), ("x ", "y.")))]
+    want = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t in texts]
+    marks = {m: encoder.known(m, "") for m in ",.!?;:\n"}
+    monkeypatch.setattr(encoder, "whole", lambda text: marks[text])  # nothing else is encoded whole
+    assert [encoder.encode(t) for t in texts] == want
+
+
 def test_files_hold_every_document(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = list(enumerate(TEXTS)) + [(None, "null key"), (None, None), (3, "again"), (3, "again"), (900, " ".join(f"w{rng.integers(3000)}" for _ in range(60_000)))]
